@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hashloom.functions.skew import heavy_keys, salted_join
-from hashloom.llm import quantiles, topn
-from hashloom.runtime import durable, table
+from hashloom.llm import leaks, nearest, packing, quantiles, topn
+from hashloom.runtime import durable, table, tokenizer_dir
 
 PCTS = [1, 5, 25, 50, 75, 95, 99]
 
@@ -41,9 +41,42 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quantiles.exact_percentiles(rows, group, "hamming_distance", merged, PCTS).select(*group, "pct", F.col("value").cast("int").alias("hamming_distance"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest hashes of every probe, as pairs."""
+    index = nearest.code_rows(table(spark, sf_dir, "hashes"), "id", ["hashing_method_id", "nbits"], "hash")
+    near = nearest.nearest(index, table(spark, sf_dir, "probe_hashes"), "hash_id", 5)
+    return near.select(F.least("query_id", "id").alias("hash_a"), F.greatest("query_id", "id").alias("hash_b")).distinct()
+
+
+def p6_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A container, a place in it and a step group for every non-empty post."""
+    sizes = durable(packing.token_counts(table(spark, sf_dir, "documents"), "doc_id", "text", tokenizer_dir()))
+    return packing.pack(sizes, "doc_id", "tokens").withColumnRenamed("item_id", "doc_id").withColumnRenamed("n", "tokens")
+
+
+def _passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.leaked_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Posts and the test items they hold."""
+    return _passages(spark, sf_dir).select("doc_id", "item_id").distinct()
+
+
+def p7_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The longest common passage of each post and item, with its place in both."""
+    return _passages(spark, sf_dir)
+
+
+def p7_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of the posts that hold no test passage."""
+    docs = table(spark, sf_dir, "documents").select("doc_id")
+    return leaks.without_leaks(docs, _passages(spark, sf_dir))
+
+
 _P4_ROWS = "SELECT h.hashing_method_id, m.hash_len, m.hamming_distance, CAST(m.loaded_at AS DATE) AS day FROM matches m JOIN hashes h ON h.id = m.hash1_id WHERE m.hash_len IS NOT NULL AND m.hamming_distance >= 0"
 
-QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p4_daily_sketches": p4_daily_sketches}
+QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p4_daily_sketches": p4_daily_sketches, "p3_found": p3_found, "p6_assignment": p6_assignment, "p7_found": p7_found, "p7_passages": p7_passages, "p7_clean": p7_clean}
 SQL = {
     "p1_found": """
 WITH best AS (SELECT hash1_id, hash2_id, hamming_distance, id, row_number() OVER (PARTITION BY hash1_id, hash2_id ORDER BY hamming_distance, id) AS r FROM matches
@@ -54,5 +87,11 @@ SELECT hash1_id, match_id FROM ranked WHERE k <= 5""",
 WITH d AS ({_P4_ROWS}), c AS (SELECT hashing_method_id, hash_len, hamming_distance, count(*) AS n FROM d GROUP BY ALL),
 u AS (SELECT *, sum(n) OVER (PARTITION BY hashing_method_id, hash_len ORDER BY hamming_distance) AS upto, sum(n) OVER (PARTITION BY hashing_method_id, hash_len) AS total FROM c)
 SELECT hashing_method_id, hash_len, pct, min(hamming_distance) AS hamming_distance FROM u, (SELECT unnest([1, 5, 25, 50, 75, 95, 99])::INTEGER AS pct) WHERE upto * 100 >= pct * total GROUP BY hashing_method_id, hash_len, pct""",
+    "p3_found": """
+WITH q AS (SELECT DISTINCT h.id, h.hashing_method_id, h.nbits, h.words FROM hashes h JOIN probe_hashes p ON p.hash_id = h.id WHERE h.words IS NOT NULL),
+d AS (SELECT q.id AS q, h.id AS o, list_sum(list_transform(list_zip(q.words, h.words), lambda z: bit_count(xor(z[1], z[2]))::INTEGER)) AS dist
+ FROM q JOIN hashes h ON h.hashing_method_id = q.hashing_method_id AND h.nbits = q.nbits AND h.id <> q.id WHERE h.words IS NOT NULL),
+r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY dist, o) AS k FROM d)
+SELECT DISTINCT least(q, o) AS hash_a, greatest(q, o) AS hash_b FROM r WHERE k <= 5""",
     "p4_daily_sketches": f"SELECT hashing_method_id, hash_len, day, count(*) AS n FROM ({_P4_ROWS}) GROUP BY ALL",
 }
