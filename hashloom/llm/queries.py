@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hashloom.functions.skew import heavy_keys, salted_join
-from hashloom.llm import leaks, nearest, packing, quantiles, topn
+from hashloom.llm import leaks, nearest, packing, quantiles, spam, topn
 from hashloom.runtime import durable, table, tokenizer_dir
 
 PCTS = [1, 5, 25, 50, 75, 95, 99]
@@ -74,9 +74,19 @@ def p7_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.without_leaks(docs, _passages(spark, sf_dir))
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Posts made of repeated keywords, link lists or tags."""
+    return spam.stuffed_pages(table(spark, sf_dir, "documents")).distinct()
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every post, how many characters are its own, in lists, and in heaps of keywords."""
+    return spam.stuffed_shares(table(spark, sf_dir, "documents"))
+
+
 _P4_ROWS = "SELECT h.hashing_method_id, m.hash_len, m.hamming_distance, CAST(m.loaded_at AS DATE) AS day FROM matches m JOIN hashes h ON h.id = m.hash1_id WHERE m.hash_len IS NOT NULL AND m.hamming_distance >= 0"
 
-QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p4_daily_sketches": p4_daily_sketches, "p3_found": p3_found, "p6_assignment": p6_assignment, "p7_found": p7_found, "p7_passages": p7_passages, "p7_clean": p7_clean}
+QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p4_daily_sketches": p4_daily_sketches, "p3_found": p3_found, "p6_assignment": p6_assignment, "p7_found": p7_found, "p7_passages": p7_passages, "p7_clean": p7_clean, "p8_found": p8_found, "p8_shares": p8_shares}
 SQL = {
     "p1_found": """
 WITH best AS (SELECT hash1_id, hash2_id, hamming_distance, id, row_number() OVER (PARTITION BY hash1_id, hash2_id ORDER BY hamming_distance, id) AS r FROM matches
