@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hashloom.functions.skew import heavy_keys, salted_join
-from hashloom.llm import leaks, nearest, packing, quantiles, spam, topn
-from hashloom.runtime import durable, table, tokenizer_dir
+from hashloom.llm import dedup, leaks, nearest, packing, quantiles, spam, topn
+from hashloom.runtime import durable, shared_dir, table, tokenizer_dir
 
 PCTS = [1, 5, 25, 50, 75, 95, 99]
 
@@ -19,6 +21,16 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topn.top_n_per_group(best, ["hash1_id"], [F.col("hamming_distance"), F.col("hash2_id")], 5).select("hash1_id", F.col("id").alias("match_id"))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hashes that repeat or nearly repeat one accepted from an earlier run."""
+    rows = dedup.arrivals(*(table(spark, sf_dir, t) for t in ("hashes", "modified_images", "run_images", "runs")))
+    store = dedup.FingerprintStore(spark, f"{shared_dir(spark)}/fingerprints-{uuid.uuid4().hex}")
+    try:
+        return dedup.deduplicate(rows, store).select(F.col("id").alias("hash_id"))
+    finally:
+        store.drop()
+
+
 def _distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(hashing_method_id, hash_len, hamming_distance, day) of the matches that count."""
     rows = table(spark, sf_dir, "matches").where("hash1_id is not null and hash_len is not null and hamming_distance >= 0").select("hash1_id", "hash_len", "hamming_distance", F.to_date("loaded_at").alias("day"))
@@ -86,7 +98,7 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _P4_ROWS = "SELECT h.hashing_method_id, m.hash_len, m.hamming_distance, CAST(m.loaded_at AS DATE) AS day FROM matches m JOIN hashes h ON h.id = m.hash1_id WHERE m.hash_len IS NOT NULL AND m.hamming_distance >= 0"
 
-QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p4_daily_sketches": p4_daily_sketches, "p3_found": p3_found, "p6_assignment": p6_assignment, "p7_found": p7_found, "p7_passages": p7_passages, "p7_clean": p7_clean, "p8_found": p8_found, "p8_shares": p8_shares}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p4_daily_sketches": p4_daily_sketches, "p3_found": p3_found, "p6_assignment": p6_assignment, "p7_found": p7_found, "p7_passages": p7_passages, "p7_clean": p7_clean, "p8_found": p8_found, "p8_shares": p8_shares}
 SQL = {
     "p1_found": """
 WITH best AS (SELECT hash1_id, hash2_id, hamming_distance, id, row_number() OVER (PARTITION BY hash1_id, hash2_id ORDER BY hamming_distance, id) AS r FROM matches
