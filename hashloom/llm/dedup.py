@@ -84,14 +84,13 @@ def _second(prints: DataFrame, distance: int) -> DataFrame:
     return prints.withColumn("print2", F.explode(F.array(*inner))).drop("r0", "r1", "r2", "r3")
 
 
-def near(left: DataFrame, right: DataFrame, distance: int, earlier: bool) -> DataFrame:
+def near(left: DataFrame, right: DataFrame, hot: DataFrame, distance: int, earlier: bool) -> DataFrame:
     """(value, other): fingerprint rows of left and right that are within the distance; with ``earlier`` only others of an earlier run.
 
-    Fingerprints that more than HOT values of right share (flat pictures) are joined by a second
-    fingerprint as well, so that a bucket of unlike values isn't compared in pairs.
+    ``hot`` names fingerprints (kind, print) that many values of right share, as flat pictures do;
+    they are joined by a second fingerprint as well, so that a bucket of unlike values isn't
+    compared in pairs.
     """
-    hot = right.groupBy("kind", "print").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select("kind", "print")
-    hot = durable(hot)
 
     def joined(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
         rule = reduce(lambda x, y: x & y, (F.col(f"a.{c}") == F.col(f"b.{c}") for c in on)) & (differing("a", "b") <= distance)
@@ -99,39 +98,41 @@ def near(left: DataFrame, right: DataFrame, distance: int, earlier: bool) -> Dat
             rule &= F.col("b.run_no") < F.col("a.run_no")
         return a.alias("a").join(b.alias("b"), rule).select(F.col("a.value").alias("value"), F.col("b.value").alias("other"))
 
-    if not hot.take(1):
-        return joined(left, right, ["kind", "print"])
     key = ["kind", "print"]
+    if not hot.take(1):
+        return joined(left, right, key)
     cold = joined(left.join(hot, key, "left_anti"), right.join(hot, key, "left_anti"), key)
     return cold.unionByName(joined(_second(left.join(hot, key, "left_semi"), distance), _second(right.join(hot, key, "left_semi"), distance), [*key, "print2"]))
 
 
-def resolve(values: DataFrame, distance: int) -> DataFrame:
-    """(value) accepted of a batch's distinct values, in the order of run_no; those of one run aren't held against each other.
+def fallen(values: DataFrame, distance: int) -> DataFrame:
+    """(value) of a batch's distinct values that are near to an accepted one of an earlier run of the batch.
 
-    A value that is the earliest under all of its fingerprints is accepted at once, and what is
-    near to it falls; this thins out dense heaps before values are compared with each other. Then
-    whoever has no earlier undecided neighbour is accepted, whoever has an accepted one falls, and
-    so on until nothing is open; each round settles at least the earliest.
+    Only fingerprints shared by values of different runs matter; most values have none and are
+    accepted without a comparison. Where a fingerprint is hot, values that are the earliest under
+    all of theirs are accepted first and what is near to them falls, which thins out dense heaps
+    before values are compared with each other. Then, round by round, values near to one without
+    an earlier open neighbour fall; each round settles at least the earliest. Values of one run
+    aren't held against each other.
     """
-    prints = durable(fingerprints(values, distance))
-    first = prints.groupBy("kind", "print").agg(F.min("run_no").alias("first"))
-    leads = prints.join(first, ["kind", "print"]).groupBy("value").agg(F.min((F.col("run_no") == F.col("first")).cast("int")).alias("lead"))
-    leaders = durable(leads.where("lead = 1").select("value"))
-    others = prints.join(leaders, "value", "left_anti")
-    fallen = near(others, prints.join(leaders, "value", "left_semi"), distance, True).select("value").distinct()
-    open_prints = durable(others.join(fallen, "value", "left_anti"))
-    accepted = leaders
-    edges = durable(near(open_prints, open_prints, distance, True).distinct())
-    nodes = open_prints.select("value").distinct()
-    while True:
-        free = durable(nodes.join(edges.select("value"), "value", "left_anti"))
-        accepted = accepted.unionByName(free)
-        if not edges.take(1):
-            return accepted
-        falls = edges.join(free.select(F.col("value").alias("other")), "other", "left_semi").select("value").distinct()
-        nodes = durable(nodes.join(free, "value", "left_anti").join(falls, "value", "left_anti"))
-        edges = durable(edges.join(nodes, "value", "left_semi").join(nodes.select(F.col("value").alias("other")), "other", "left_semi").select("value", "other"))
+    prints = fingerprints(values, distance)
+    buckets = prints.groupBy("kind", "print").agg(F.count(F.lit(1)).alias("n"), F.min("run_no").alias("first"), F.max("run_no").alias("last")).where("first < last")
+    open_prints = durable(prints.join(buckets.select("kind", "print", "n", "first"), ["kind", "print"]))
+    hot = open_prints.where(F.col("n") > HOT).select("kind", "print").distinct()
+    down = None
+    if hot.take(1):
+        hot = durable(hot)
+        leaders = durable(open_prints.groupBy("value").agg(F.min((F.col("run_no") == F.col("first")).cast("int")).alias("leads")).where("leads = 1").select("value"))
+        others = open_prints.join(leaders, "value", "left_anti")
+        down = durable(near(others, open_prints.join(leaders, "value", "left_semi"), hot, distance, True).select("value").distinct())
+        open_prints = durable(others.join(down, "value", "left_anti"))
+    edges = durable(near(open_prints, open_prints, hot, distance, True).distinct())
+    while edges.take(1):
+        free = edges.select("other").distinct().join(edges.select(F.col("value").alias("other")), "other", "left_anti")
+        falls = durable(edges.join(free, "other", "left_semi").select("value").distinct())
+        down = falls if down is None else down.unionByName(falls)
+        edges = durable(edges.join(falls, "value", "left_anti").join(falls.select(F.col("value").alias("other")), "other", "left_anti").select("value", "other"))
+    return values.select("value").where("false") if down is None else down
 
 
 def _positions(h: np.ndarray, size: int) -> np.ndarray:
@@ -179,12 +180,14 @@ class FingerprintStore:
         """(value) of those near to an accepted one, which is from an earlier batch."""
         prints = self._placed(fingerprints(values, self.distance))
         asked = prints.select("part", "kind", "print", "h").distinct()
-        positive = asked.groupBy("part").cogroup(self._read("filters").groupBy("part")).applyInPandas(_screen, "part int, kind int, print bigint")
-        positive = durable(positive)
+        positive = durable(asked.groupBy("part").cogroup(self._read("filters").groupBy("part")).applyInPandas(_screen, "part int, kind int, print bigint"))
         touched = [r[0] for r in positive.select("part").distinct().collect()]  # at most ``parts`` numbers
         store = self._read("prints").where(F.col("part").isin(touched)) if touched else self._read("prints").where("false")
-        looked = prints.join(positive.select("kind", "print"), ["kind", "print"], "left_semi")
-        return near(looked.select(*VALUE, "print"), store.join(positive.select("kind", "print"), ["kind", "print"], "left_semi").select(*VALUE, "print"), self.distance, False).select("value").distinct()
+        positive = positive.select("kind", "print")
+        held = durable(store.join(positive, ["kind", "print"], "left_semi").select(*VALUE, "print"))
+        hot = held.groupBy("kind", "print").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select("kind", "print")
+        looked = prints.select(*VALUE, "print").join(positive, ["kind", "print"], "left_semi")
+        return near(looked, held, hot, self.distance, False).select("value").distinct()
 
     def ingest(self, values: DataFrame) -> DataFrame:
         """(value) accepted of a batch of distinct values (kind, value, run_no, w0..w3); the store then holds them.
@@ -194,13 +197,12 @@ class FingerprintStore:
         fresh = values
         if self.batches:
             fresh = durable(values.join(self.known(values), "value", "left_anti").select(*VALUE))
-        accepted = durable(resolve(fresh, self.distance).distinct())
-        prints = self._placed(fingerprints(fresh.join(accepted, "value", "left_semi").select(*VALUE), self.distance))
-        prints = prints.repartition(self.parts, "part")
+        accepted = durable(fresh.join(fallen(fresh, self.distance), "value", "left_anti").select(*VALUE))
+        prints = self._placed(fingerprints(accepted, self.distance)).repartition(self.parts, "part")
         prints.drop("h").write.mode("overwrite").partitionBy("part").parquet(f"{self.path}/prints/batch-{self.batches}")
         self._filters(f"{self.path}/prints/batch-{self.batches}").write.mode("overwrite").parquet(f"{self.path}/filters/batch-{self.batches}")
         self.batches += 1
-        return accepted
+        return accepted.select("value")
 
     def _filters(self, prints: str) -> DataFrame:
         schema = "kind int, value binary, run_no int, w0 bigint, w1 bigint, w2 bigint, w3 bigint, print bigint, part int"
@@ -228,7 +230,7 @@ def arrivals(hashes: DataFrame, modified_images: DataFrame, run_images: DataFram
     return whole.join(variants, "mod_image_id").select("id", *VALUE)
 
 
-def deduplicate(rows: DataFrame, store: FingerprintStore, batches: int = 4) -> DataFrame:
+def deduplicate(rows: DataFrame, store: FingerprintStore, batches: int = 3) -> DataFrame:
     """(id) of the rows of ``arrivals`` that repeat or nearly repeat a hash accepted from an earlier run.
 
     The runs come in as ``batches`` batches of about equal rows, each of whole runs; a run is never
