@@ -5,14 +5,13 @@ from __future__ import annotations
 import os
 import threading
 import time
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hashloom import registry
-from hashloom.errors import AlreadyRunning
+from hashloom.errors import AlreadyRunning, PathNotFound
 from hashloom.functions.numbering import numbered
 from hashloom.operators import matching, roc, upserts, views
 from hashloom.operators.variants import hash_variants
@@ -26,14 +25,16 @@ class Engine:
 
     Nothing is selected at first: such a run records its images and makes no hashes or matches.
     Ids of modifications and methods are positions in the registries, the same in every run.
-    Images keep their id as long as their path stays the same.
+    Images keep their id as long as their path stays the same. ``progress`` is told the name of
+    each stage that is done, with the run's number. With ``compat_selection`` a run picks its
+    modifications by the positions selected for methods, as the literal reading has it.
     """
 
-    def __init__(self, *, spark: SparkSession, store: str, images_path: str | None = None, modifications: list | None = None, methods: list | None = None, rendering: str = "bits", compat_selection: bool = False, now: Callable[[], int] = lambda: int(time.time() * 1000)):
+    def __init__(self, *, spark: SparkSession, store: str, images_path: str | None = None, modifications: list | None = None, methods: list | None = None, rendering: str = "bits", compat_selection: bool = False, now: Callable[[], int] = lambda: int(time.time() * 1000), progress: Callable[[str, int], None] = lambda stage, run_id: None):
         self.spark, self.store, self.path = spark, Warehouse(spark, store), images_path
         self.modifications = registry.default_modifications() if modifications is None else modifications
         self.methods = registry.default_methods() if methods is None else methods
-        self.rendering, self.compat_selection, self.now = rendering, compat_selection, now
+        self.rendering, self.compat_selection, self.now, self.progress = rendering, compat_selection, now, progress
         self.selected_modifications: list[int] = []
         self.selected_methods: list[int] = []
         self.undecodable: DataFrame | None = None
@@ -106,6 +107,8 @@ class Engine:
         mods = registry.select(self.modifications, self.selected_methods if self.compat_selection else self.selected_modifications)
         methods = registry.select(self.methods, self.selected_methods)
 
+        if not self.path:
+            raise PathNotFound("no folder is set")
         seen = scan(self.spark, self.path)
         known = s.read("images")
         fresh = numbered(seen.join(known.select("path"), "path", "left_anti").select("path", "user"), ["path"], "id", upserts.next_id(known) if known.take(1) else 0)
@@ -121,11 +124,14 @@ class Engine:
             rows = self.spark.createDataFrame([(i, e.name) for i, e in chosen], "id int, name string")
             s.replace(name, durable(upserts.insert_ignore(s.read(name), rows, ["id"])))
 
+        self.progress("images", run_id)
         grids = decoded(self.spark, self.path, images)
         self.undecodable = undecodable(images, grids)
         if mods and methods:
             self._hash(durable(hash_variants(grids, mods, methods)))
+            self.progress("hashes", run_id)
             self._match(run_id)
+            self.progress("matches", run_id)
         return run_id
 
     def _hash(self, rows: DataFrame) -> None:
@@ -159,6 +165,3 @@ class Engine:
         counts = roc.counted(rows, ["method_1"], F.col("image_id_1") == F.col("image_id_2"))
         return roc.rates(roc.merged(roc.confusion(counts, ["method_1"], roc.thresholds(self.spark))))
 
-
-def new_store(root: str) -> str:
-    return os.path.join(root, f"store-{uuid.uuid4().hex}")

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hashloom.errors import NoRun, StoreError
+from hashloom.operators.views import active_run_hashes, active_run_modified_images
 from hashloom.schema import SCHEMAS
 
 
@@ -76,6 +77,10 @@ class Warehouse:
         return row["run_id"]
 
     def views(self) -> None:
-        """Temporary views of all tables under their names."""
-        for name in SCHEMAS:
-            self.read(name).createOrReplaceTempView(name)
+        """Temporary views of all tables under their names, and of what the active run holds."""
+        tables = {name: self.read(name) for name in SCHEMAS}
+        for name, rows in tables.items():
+            rows.createOrReplaceTempView(name)
+        base = [tables[t] for t in ("program", "run_images", "images", "modified_images")]
+        active_run_modified_images(*base).createOrReplaceTempView("active_run_modified_images")
+        active_run_hashes(*base, tables["hashes"]).createOrReplaceTempView("active_run_hashes")

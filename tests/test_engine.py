@@ -4,6 +4,7 @@ from conftest import png
 from hashloom import registry
 from hashloom.engine import Engine
 from hashloom.errors import AlreadyRunning, HashingMethodNotFound, NoRun, NotEnoughHashes, PathNotFound, StoreError
+from hashloom.sources.plot import plot_roc
 
 
 @pytest.fixture
@@ -41,7 +42,9 @@ def test_whole_run(spark, tmp_path, folder):
     again = e.run()
     assert again == 2 and s.read("images").count() == 3 and s.read("hashes").count() == 12 and s.read("run_images").count() == 6
     assert e.roc("all", run_id=2).first()["tn"] is not None
+    assert plot_roc(e.roc("all"), str(tmp_path / "roc.svg")) == 99 and (tmp_path / "roc.svg").read_text().count("<circle") == 99
     s.views()
+    assert spark.sql("select count(*) n from active_run_hashes").first().n == 12
     assert spark.sql("select count(*) n from runs").first().n == 2
 
 
@@ -53,6 +56,15 @@ def test_nothing_selected(spark, tmp_path, folder):
     assert e.store.read("images").count() == 3 and e.store.read("hashes").count() == 0 and e.store.read("matches").count() == 0
 
 
+def test_literal_selection(spark, tmp_path, folder):
+    stages = []
+    e = _engine(spark, tmp_path, folder, compat_selection=True, methods=[registry.average_hash(8)], progress=lambda stage, run: stages.append(stage))
+    e.set_selected_modifications([3])
+    e.set_selected_methods([0])
+    e.run()
+    assert [r.name for r in e.store.read("modifications").collect()] == ["rotate180"] and stages == ["images", "hashes", "matches"]
+
+
 def test_refusals(spark, tmp_path, folder):
     e = _engine(spark, tmp_path, folder)
     with pytest.raises(PathNotFound):
