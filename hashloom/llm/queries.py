@@ -55,8 +55,8 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five nearest hashes of every probe, as pairs."""
-    index = nearest.code_rows(table(spark, sf_dir, "hashes"), "id", ["hashing_method_id", "nbits"], "hash")
-    near = nearest.nearest(index, table(spark, sf_dir, "probe_hashes"), "hash_id", 5)
+    rows = nearest.vector_rows(table(spark, sf_dir, "hashes"), "id", ["hashing_method_id", "nbits"], "hash")
+    near = nearest.nearest(nearest.code_rows(rows), rows, table(spark, sf_dir, "probe_hashes"), "hash_id", 5)
     return near.select(F.least("query_id", "id").alias("hash_a"), F.greatest("query_id", "id").alias("hash_b")).distinct()
 
 

@@ -115,21 +115,21 @@ def test_nearest_recall(spark):
     rows = [_row(i, rng.randbytes(32) if i % 3 else rng.randbytes(8), i, i % 2) for i in range(3000)]
     rows += [_row(4000 + i, _flip(rows[1][1], rng.sample(range(256), i)), 1, 1) for i in range(1, 9)] + [_row(5000, None, 1), _row(5001, b"", 1), _row(5002, bytes(16), 1)]
     asked = [*range(0, 3000, 60), 1, 1, 5000, 5002, 77777, None]
-    index = nearest.code_rows(spark.createDataFrame(rows, H), "id", ["hashing_method_id", "nbits"], "hash")
+    index = nearest.vector_rows(spark.createDataFrame(rows, H), "id", ["hashing_method_id", "nbits"], "hash")
     ids = spark.createDataFrame([(a,) for a in asked], "hash_id bigint")
-    got = {tuple(r) for r in nearest.nearest(index, ids, "hash_id", 5, tile=500).collect()}
+    got = {tuple(r) for r in nearest.nearest(nearest.code_rows(index), index, ids, "hash_id", 5, tile=500).collect()}
     want = _exact(rows, asked, 5)
     assert len(got & want) >= 0.98 * len(want) and len(got) == len(want)
     assert {(q, i) for q, i, _ in got if q == 1} == {(1, 4000 + i) for i in range(1, 6)}
-    blocked = {tuple(r) for r in nearest.nearest(index, ids, "hash_id", 5, block=7).collect()}
+    blocked = {tuple(r) for r in nearest.nearest(nearest.code_rows(index), index, ids, "hash_id", 5, block=7).collect()}
     assert len(blocked & want) >= 0.98 * len(want)
 
 
 def test_nearest_empty(spark):
-    index = nearest.code_rows(spark.createDataFrame([], H), "id", ["hashing_method_id", "nbits"], "hash")
-    assert nearest.nearest(index, spark.createDataFrame([(1,)], "hash_id bigint"), "hash_id", 5).count() == 0
-    one = nearest.code_rows(spark.createDataFrame([_row(1, bytes(8), 1)], H), "id", ["hashing_method_id", "nbits"], "hash")
-    assert nearest.nearest(one, spark.createDataFrame([(1,)], "hash_id bigint"), "hash_id", 5).count() == 0
+    index = nearest.vector_rows(spark.createDataFrame([], H), "id", ["hashing_method_id", "nbits"], "hash")
+    assert nearest.nearest(nearest.code_rows(index), index, spark.createDataFrame([(1,)], "hash_id bigint"), "hash_id", 5).count() == 0
+    one = nearest.vector_rows(spark.createDataFrame([_row(1, bytes(8), 1)], H), "id", ["hashing_method_id", "nbits"], "hash")
+    assert nearest.nearest(nearest.code_rows(one), one, spark.createDataFrame([(1,)], "hash_id bigint"), "hash_id", 5).count() == 0
 
 
 def test_estimates_stay_within_their_bound():
