@@ -161,13 +161,20 @@ def _screen(asked: pd.DataFrame, layers: pd.DataFrame) -> pd.DataFrame:
 class FingerprintStore:
     """Accepted hashes in a folder: fingerprints by partition, Bloom filters by partition and batch.
 
-    A batch is written under its own number and counts once the whole batch is there, so a job
-    that is cut off and begun again leaves nothing behind that counts.
+    A batch is written under its own number and counts once its filters, written last, are
+    complete, so a job that is cut off and begun again leaves nothing behind that counts. A store
+    that is opened again goes on after the last batch that counts.
     """
 
     def __init__(self, spark: SparkSession, path: str, distance: int = DISTANCE, parts: int = PARTS):
         self.spark, self.path, self.distance, self.parts = spark, path.rstrip("/"), distance, parts
         self.batches = 0
+        while self._exists(f"filters/batch-{self.batches}/_SUCCESS"):
+            self.batches += 1
+
+    def _exists(self, name: str) -> bool:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
 
     def _read(self, what: str) -> DataFrame:
         return reduce(DataFrame.unionByName, (self.spark.read.parquet(f"{self.path}/{what}/batch-{i}") for i in range(self.batches)))

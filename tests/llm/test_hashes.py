@@ -77,6 +77,24 @@ def test_dedup_against_brute_force(spark, tmp_path, monkeypatch, seed, flat, bat
     assert len(got) == len(set(got)) and set(got) == _brute(hashes, variants, listed, runs)
 
 
+def test_store_goes_on_where_it_was(spark, tmp_path):
+    rng = random.Random(6)
+    path = str(tmp_path / "kept")
+
+    def values(datas, run):
+        rows = [(1, bytearray(b"\0\0\0\1" + d), run, *np.frombuffer(d, ">i8").astype(np.int64).tolist()) for d in datas]
+        return spark.createDataFrame(rows, "kind int, value binary, run_no int, w0 bigint, w1 bigint, w2 bigint, w3 bigint")
+
+    first = [rng.randbytes(32) for _ in range(20)]
+    assert dedup.FingerprintStore(spark, path, parts=2).ingest(values(first, 1)).count() == 20
+    again = dedup.FingerprintStore(spark, path, parts=2)
+    assert again.batches == 1
+    second = [_flip(d, rng.sample(range(256), 10)) for d in first[:10]] + [_flip(first[11], rng.sample(range(256), 11)), rng.randbytes(32)]
+    assert {bytes(r.value)[4:] for r in again.ingest(values(second, 2)).collect()} == set(second[10:])
+    again.drop()
+    assert dedup.FingerprintStore(spark, path).batches == 0
+
+
 def test_dedup_empty(spark, tmp_path):
     rows = dedup.arrivals(spark.createDataFrame([], H), spark.createDataFrame([], "id bigint, image_id bigint"), spark.createDataFrame([], "id bigint, run_id bigint, image_id bigint"), spark.createDataFrame([], "id bigint, timestamp bigint"))
     assert dedup.deduplicate(rows, dedup.FingerprintStore(spark, str(tmp_path / "s"))).count() == 0
