@@ -32,6 +32,19 @@ def relative(distance: Column, length: Column) -> Column:
     return F.try_divide(distance.cast("double"), length.cast("double")).cast("float")
 
 
+def words_of(data: Column) -> Column:
+    """Bytes to signed 64-bit words, most significant first; short ends are followed by zeros. Null stays null."""
+    text = F.hex(data)
+    count = F.ceil(F.length(text) / 16).cast("int")
+    each = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.conv(F.rpad(F.substring(text, i * 16 + 1, F.lit(16)), 16, "0"), 16, -10).cast("bigint"))
+    return F.when(data.isNotNull(), F.when(count > 0, each).otherwise(F.array().cast("array<bigint>")))
+
+
+def bytes_of(words: Column, nbits: Column) -> Column:
+    """The words' first nbits bits (whole bytes) as binary."""
+    return F.unhex(F.left(F.array_join(F.transform(words, lambda w: F.lpad(F.hex(w), 16, "0")), ""), (nbits / 4).cast("int")))
+
+
 def hex_text(data: Column) -> Column:
     return F.lower(F.hex(data))
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hashloom import registry
-from hashloom.functions.bits import bit_text, hex_text
+from hashloom.functions.bits import bit_text, bytes_of, hex_text, words_of
 from hashloom.functions.numbering import numbered
 from hashloom.functions.paths import file_name, user_of
 from hashloom.operators import upserts, views
@@ -141,6 +141,12 @@ def hash_render(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "hashes").select("id", bit_text(F.col("words"), F.col("nbits")).alias("bits"))
 
 
+def hash_bytes(spark: SparkSession, d: str) -> DataFrame:
+    """Bytes to words and words to bytes."""
+    rows = table(spark, d, "hashes")
+    return rows.select("id", F.array_join(words_of(F.col("hash")).cast("array<string>"), ",").alias("words"), hex_text(bytes_of(F.col("words"), F.col("nbits"))).alias("hex"))
+
+
 def thresholds(spark: SparkSession, d: str) -> DataFrame:
     return threshold_grid(spark)
 
@@ -159,7 +165,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         runs_list, runs_json, image_dim, user_from_path, scan_rejects, registry_select, registry_renumber, insert_ignore, insert_ignore_images, insert_ignore_hashes, upsert_returning, run_append, program_replace,
-        run_images_append, active_run_modified_images, active_run_hashes, fetch_method_hashes, images_results_join, match_append, upload_insert, hash_hex, hash_render, thresholds,
+        run_images_append, active_run_modified_images, active_run_hashes, fetch_method_hashes, images_results_join, match_append, upload_insert, hash_hex, hash_render, hash_bytes, thresholds,
     )
 }
 
@@ -191,5 +197,6 @@ SELECT coalesce((SELECT max(id) FROM matches WHERE loaded_at < TIMESTAMP '{CUT}'
     "upload_insert": "SELECT (SELECT max(id) FROM images) + row_number() OVER (ORDER BY event_id) AS id, '/uploads/' || user_id || '/' || event_id || '.png' AS path, 'user' || user_id AS \"user\" FROM events WHERE user_id IS NOT NULL",
     "hash_hex": "SELECT id, lower(hex(hash)) AS hex FROM hashes",
     "hash_render": "SELECT id, CASE WHEN words IS NULL THEN NULL ELSE left(array_to_string(list_transform(words, lambda w: lpad(bin(w), 64, '0')), ''), nbits) END AS bits FROM hashes",
+    "hash_bytes": "SELECT id, array_to_string(words, ',') AS words, lower(hex(hash)) AS hex FROM hashes",
     "thresholds": "SELECT i::INTEGER AS threshold_idx, (i::DOUBLE / 100)::FLOAT AS threshold FROM range(1, 100) AS t(i)",
 }

@@ -10,22 +10,34 @@ from hashloom.functions.skew import heavy_keys, salted_join
 
 
 def bands(hashes: DataFrame, count: int) -> DataFrame:
-    """Each hash once for each of ``count`` aligned bands of its bits, as (band, bits)."""
-    text = F.array_join(F.transform("words", lambda w: F.lpad(F.bin(w), 64, "0")), "")
-    cut = F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda i: F.struct(i.alias("band"), F.substring(text, (F.floor(i * F.col("nbits") / count) + 1).cast("int"), (F.floor((i + 1) * F.col("nbits") / count) - F.floor(i * F.col("nbits") / count)).cast("int")).alias("bits")))
-    return hashes.withColumn("_b", F.explode(cut)).select(*hashes.columns, F.concat_ws(":", "hashing_method_id", "nbits", "_b.band", "_b.bits").alias("band_key"))
+    """Each hash once for each of ``count`` aligned bands of its bits, under a 64-bit key of method, length, band and bits.
+
+    A band longer than 63 bits goes by its last 63: still equal where the whole band is. Unequal
+    bands may share a key; whoever joins on it compares the hashes anyway.
+    """
+    shift = lambda way, x, by: F.call_function(way, x, by)
+    rows = hashes.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
+    rows = rows.withColumn("_end", F.floor((F.col("_i") + 1) * F.col("nbits") / count).cast("int"))
+    rows = rows.withColumn("_size", F.least(F.lit(63), F.col("_end") - F.floor(F.col("_i") * F.col("nbits") / count).cast("int")))
+    first, last = F.floor((F.col("_end") - F.col("_size")) / 64).cast("int"), F.floor((F.col("_end") - 1) / 64).cast("int")
+    low = F.col("_end") - last * 64
+    right = F.when(low == 64, F.get("words", last)).otherwise(shift("shiftrightunsigned", F.get("words", last), 64 - low))
+    both = F.when(first == last, right).otherwise(shift("shiftleft", F.get("words", first), low).bitwiseOR(right))
+    bits = F.when(F.col("_size") > 0, both.bitwiseAND(shift("shiftrightunsigned", F.lit(-1).cast("bigint"), 64 - F.col("_size")))).otherwise(F.lit(0).cast("bigint"))
+    return rows.withColumn("band_key", F.xxhash64("hashing_method_id", "nbits", "_i", bits)).drop("_i", "_end", "_size")
 
 
 def near_stored(new: DataFrame, stored: DataFrame, distance: int) -> DataFrame:
     """(new_id, hash_id, hamming_distance): stored hashes of the same method and length at most ``distance`` bits away.
 
     Two hashes that differ in ``distance`` bits agree in one of distance + 1 bands, so they meet
-    under an equal key; no pair is lost and all pairs are never made.
+    under an equal key; no pair is lost and all pairs are never made. A band that a large share of
+    the new hashes have is salted; adaptive execution splits one that only the stored have.
     """
     ready = lambda df: df.where("words is not null and nbits > 0").select("id", "hashing_method_id", "nbits", "words")
     a = bands(ready(new), distance + 1).select(F.col("id").alias("new_id"), F.col("words").alias("new_words"), "band_key")
     b = bands(ready(stored), distance + 1).select(F.col("id").alias("hash_id"), "words", "band_key")
-    both = salted_join(b, a, "band_key", heavy_keys(b, "band_key")).withColumn("hamming_distance", differing_bits(F.col("words"), F.col("new_words")))
+    both = salted_join(b, a, "band_key", heavy_keys(a, "band_key")).withColumn("hamming_distance", differing_bits(F.col("words"), F.col("new_words")))
     return both.where(F.col("hamming_distance") <= distance).select("new_id", "hash_id", "hamming_distance").distinct()
 
 

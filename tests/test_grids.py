@@ -52,3 +52,10 @@ def test_packing():
     data = grids.packed(bits)
     assert data.tolist() == [[128, 0, 0, 0, 0, 0, 0, 0, 1]]
     assert grids.to_words(data).tolist() == [[-(1 << 63), 1 << 56]]
+
+
+def test_large_sizes():
+    px = np.random.default_rng(1).integers(0, 256, (2, 20, 30))
+    for size in (64, 256):
+        assert grids.average_bits(px, size).shape == (2, size * size)
+        assert grids.to_words(grids.packed(grids.vert_gradient_bits(px, size))).shape == (2, size * size // 64)

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hashloom.errors import StoreError
-from hashloom.functions.bits import bit_text, differing_bits, hash_len, hex_text
+from hashloom.functions.bits import bit_text, bytes_of, differing_bits, hash_len, hex_text, words_of
 from hashloom.functions.numbering import numbered
 from hashloom.functions.paths import file_name, user_of
 from hashloom.functions.skew import heavy_keys, salted_join
@@ -60,6 +60,8 @@ def test_bits(spark):
     df = spark.createDataFrame([(1, bytearray(b"\x80\x01"), [-(1 << 63) | 1 << 48], 16), (2, None, None, None)], "id int, hash binary, words array<bigint>, nbits int")
     one, two = df.select(hex_text(F.col("hash")), bit_text(F.col("words"), F.col("nbits")), differing_bits(F.col("words"), F.array(F.lit(0).cast("bigint"))), differing_bits(F.col("words"), F.array(F.lit(0), F.lit(0)).cast("array<bigint>"))).collect()
     assert tuple(one) == ("8001", "1000000000000001", 2, None) and tuple(two) == (None,) * 4
+    assert [tuple(r) for r in df.select(words_of(F.col("hash")), bytes_of(F.col("words"), F.col("nbits"))).collect()] == [([-(1 << 63) | 1 << 48], bytearray(b"\x80\x01")), (None, None)]
+    assert spark.sql("select binary('') h").select(words_of(F.col("h"))).first()[0] == []
     with pytest.raises(ValueError):
         hash_len(F.lit(1), "other")
 

@@ -32,6 +32,21 @@ def test_near_stored(spark):
     assert near_stored(spark.createDataFrame([], SCHEMA), spark.createDataFrame(stored, SCHEMA), 6).count() == 0
 
 
+def test_wide_and_unequal_hashes(spark):
+    rng = random.Random(4)
+    stored = [(i, i % 2, 256, [rng.getrandbits(63) for _ in range(4)]) for i in range(40)]
+    new = []
+    for i, m, n, words in stored[:20]:
+        v = int.from_bytes(b"".join(w.to_bytes(8, "big") for w in words), "big")
+        for b in rng.sample([b for b in range(256) if b % 64 != 63], 3):
+            v ^= 1 << b
+        data = v.to_bytes(32, "big")
+        new.append((100 + i, m, n, [int.from_bytes(data[k : k + 8], "big", signed=True) for k in range(0, 32, 8)]))
+    got = sorted(map(tuple, near_stored(spark.createDataFrame(new, SCHEMA), spark.createDataFrame(stored, SCHEMA), 3).collect()))
+    assert got == [(100 + i, i, 3) for i in range(20)]  # 64-bit bands, across words
+    assert near_stored(spark.createDataFrame(new, SCHEMA), spark.createDataFrame(stored, SCHEMA), 1).count() == 0
+
+
 def test_stream(spark, tmp_path):
     stored, new = _rows(40, 0), None
     store, source, found = (str(tmp_path / x) for x in ("store", "in", "found"))
