@@ -230,7 +230,7 @@ def arrivals(hashes: DataFrame, modified_images: DataFrame, run_images: DataFram
     """
     numbered = runs.where("timestamp is not null and id is not null").select(F.col("id").alias("run_id"), "timestamp").distinct()
     numbered = numbered.withColumn("run_no", F.row_number().over(Window.orderBy("timestamp", "run_id")))
-    seen = run_images.where("image_id is not null").join(numbered, "run_id").groupBy("image_id").agg(F.min("run_no").alias("run_no"))
+    seen = run_images.where("image_id is not null").select("run_id", "image_id").join(numbered, "run_id").groupBy("image_id").agg(F.min("run_no").alias("run_no"))
     variants = modified_images.where("id is not null and image_id is not null").select(F.col("id").alias("mod_image_id"), "image_id").join(seen, "image_id").groupBy("mod_image_id").agg(F.min("run_no").alias("run_no"))
     whole = hashes.where((F.col("nbits") == BITS) & F.col("words").isNotNull() & (F.size("words") == BITS // 64) & F.col("hashing_method_id").isNotNull())
     whole = whole.select("id", F.col("hashing_method_id").cast("int").alias("kind"), F.concat(F.to_binary(F.lpad(F.hex("hashing_method_id"), 8, "0"), F.lit("hex")), "hash").alias("value"), "mod_image_id", *(F.get("words", i).alias(f"w{i}") for i in range(BITS // 64)))

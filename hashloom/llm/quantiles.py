@@ -61,6 +61,7 @@ def exact_percentiles(rows: DataFrame, group: list[str], value: str, merged: Dat
     settles the percentile. A bracket the sketch got wrong (its error bound is a probability) is
     noticed, since the percentile then falls into a between-cell; those groups are counted in full.
     """
+    rows = rows.select(*group, value)
     bounds = durable(brackets(merged, group, pcts, k, widen))
     n = len(pcts)
     same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"_b_{c}")) for c in group))

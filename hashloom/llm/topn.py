@@ -26,4 +26,7 @@ def top_n_per_group(df: DataFrame, group: list[str], order: list[Column], n: int
     below 1 gives nothing; an empty table gives an empty result. Extra columns are kept.
     """
     window = Window.partitionBy(*group).orderBy(*order)
-    return df.withColumn("_rank", F.row_number().over(window)).where(F.col("_rank") <= n).drop("_rank")
+    rank = "_rank"
+    while rank in df.columns:
+        rank += "_"
+    return df.withColumn(rank, F.row_number().over(window)).where(F.col(rank) <= n).drop(rank)

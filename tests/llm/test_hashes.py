@@ -71,7 +71,7 @@ def _brute(hashes, variants, listed, runs):
 def test_dedup_against_brute_force(spark, tmp_path, monkeypatch, seed, flat, batches, hot):
     monkeypatch.setattr(dedup, "HOT", hot)
     hashes, variants, listed, runs = _world(seed, flat)
-    rows = dedup.arrivals(spark.createDataFrame(hashes, H), spark.createDataFrame(variants, "id bigint, image_id bigint, modification_id int, extra string"), spark.createDataFrame(listed, "id bigint, run_id bigint, image_id bigint, extra string"), spark.createDataFrame(runs, "id bigint, timestamp bigint, extra string"))
+    rows = dedup.arrivals(spark.createDataFrame(hashes, H), spark.createDataFrame(variants, "id bigint, image_id bigint, modification_id int, extra string"), spark.createDataFrame(listed, "id bigint, run_id bigint, image_id bigint, run_no string"), spark.createDataFrame(runs, "id bigint, timestamp bigint, extra string"))
     store = dedup.FingerprintStore(spark, str(tmp_path / uuid.uuid4().hex), parts=3)
     got = [r.id for r in dedup.deduplicate(rows, store, batches).collect()]
     assert len(got) == len(set(got)) and set(got) == _brute(hashes, variants, listed, runs)

@@ -31,6 +31,8 @@ def test_top_n_edges(spark):
     assert [r.id for r in topn.top_n_per_group(df, ["hash1_id"], order, 1).collect()] == [2]  # nulls are a group
     assert topn.top_n_per_group(df, ["hash1_id"], order, 0).count() == 0
     assert topn.top_n_per_group(df.where("false"), ["hash1_id"], order, 5).count() == 0
+    clash = df.withColumn("_rank", F.lit("kept"))
+    assert {r["_rank"] for r in topn.top_n_per_group(clash, ["hash1_id"], order, 1).collect()} == {"kept"}
     assert "extra" in topn.top_n_per_group(df, ["hash1_id"], order, 1).columns
 
 
@@ -50,7 +52,7 @@ def test_percentiles_against_brute_force(spark, k, widen):
     """The second case has brackets that miss, so that the full count settles them."""
     rng = random.Random(5)
     rows = [(g, rng.randrange(7), int(rng.gauss(500, 200)) if g != 2 else 4) for g in (0, 1, 1, 1, 2) for _ in range(2500)] + [(3, 0, 9), (0, 1, None), (None, 1, 3), (None, 2, 5)]
-    df = spark.createDataFrame(rows, "g int, day int, v int")
+    df = spark.createDataFrame(rows, "g int, day int, v int").withColumn("total", F.lit("x")).withColumn("cell", F.lit("y"))  # names the operator uses
     pcts = [1, 5, 25, 50, 75, 95, 99]
     parts = quantiles.sketches(df, ["g"], "v", ["day"], k)
     merged = quantiles.merge_sketches(parts, ["g"], k)
