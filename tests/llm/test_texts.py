@@ -152,3 +152,18 @@ def test_stuffed_pages(spark):
 def test_stuffed_empty(spark):
     assert spam.stuffed_pages(spark.createDataFrame([], D)).count() == 0
     assert spam.stuffed_pages(spark.createDataFrame([(1, "!!!", "x"), (2, "one", "x")], D)).count() == 0
+
+
+def _keywords(rng, n):
+    return ["".join(rng.choice("bdfgklmnprstvz") + rng.choice("aeiou") for _ in range(4)) for _ in range(n)]
+
+
+def test_stuffed_scarce_words(spark):
+    rng = random.Random(5)
+    scarce, once, fixed, other = _keywords(rng, 60), _keywords(rng, 60), _keywords(rng, 60), _keywords(rng, 40)
+    docs = [(i, _prose(rng), "en") for i in range(300)]
+    docs += [(300, " ".join(rng.choice(scarce) for _ in range(150)), "en"), (301, " ".join(once), "en")]
+    copies = [[*fixed[:k], other[k], *fixed[k + 1 :]] for k in range(40)]
+    docs += [(400 + k, " ".join(c), "en") for k, c in enumerate(copies)]
+    found = {r.doc_id for r in spam.stuffed_pages(spark.createDataFrame(docs, D)).collect()}
+    assert {300, 301, *range(400, 440)} <= found and sum(i < 300 for i in found) <= 3
