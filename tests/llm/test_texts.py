@@ -167,3 +167,14 @@ def test_stuffed_scarce_words(spark):
     docs += [(400 + k, " ".join(c), "en") for k, c in enumerate(copies)]
     found = {r.doc_id for r in spam.stuffed_pages(spark.createDataFrame(docs, D)).collect()}
     assert {300, 301, *range(400, 440)} <= found and sum(i < 300 for i in found) <= 3
+
+
+def test_stuffed_phrases(spark):
+    rng = random.Random(6)
+    docs = [(i, _prose(rng), "en") for i in range(300)]
+    phrase = " ".join(_keywords(rng, 3))
+    docs += [(300, (phrase + " ") * 200, "en"), (301, "pump repair best price " * 200, "en"), (302, (_prose(rng) + "\n") * 2, "en"), (303, "the trick with the pump is patience " * 100, "en")]
+    shares = {r.doc_id: r for r in spam.stuffed_shares(spark.createDataFrame(docs, D)).collect()}
+    assert all(shares[i].total >= shares[i].heaped > 0.95 * shares[i].total for i in (300, 301, 303)) and shares[302].heaped < 0.5 * shares[302].total
+    _, _, repeated, chunks = spam.parts("pump repair best price " * 200)
+    assert repeated > 0.95 * 200 * 23 and sum(len(w) for _, w in chunks) <= 14
