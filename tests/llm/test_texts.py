@@ -178,3 +178,12 @@ def test_stuffed_phrases(spark):
     assert all(shares[i].total >= shares[i].heaped > 0.95 * shares[i].total for i in (300, 301, 303)) and shares[302].heaped < 0.5 * shares[302].total
     _, _, repeated, chunks = spam.parts("pump repair best price " * 200)
     assert repeated > 0.95 * 200 * 23 and sum(len(w) for _, w in chunks) <= 14
+
+
+def test_stuffed_one_word(spark):
+    rng = random.Random(7)
+    texts = ["casino " * 500, "casino " * 60 + "bonus " * 60 + "poker, " * 60, "#pump #oven #lens", "#pump #oven #lens #sale #top", "casino " * 9]
+    kept = ["bump bump bump bump", "0 0 0 0 0 0 0 0 0 0 0 0", _prose(rng) + " #pump #oven #lens", "thanks #pump", "no no no no no no no no " + _prose(rng)]
+    docs = [(i, t, "en") for i, t in enumerate(texts)] + [(100 + i, t, "en") for i, t in enumerate(kept)] + [(200 + i, _prose(rng), "en") for i in range(100)]
+    found = {r.doc_id for r in spam.stuffed_pages(spark.createDataFrame(docs, D)).collect()}
+    assert {0, 1, 2, 3, 4} <= found and not {100, 101, 102, 103, 104} & found
