@@ -187,3 +187,15 @@ def test_stuffed_one_word(spark):
     docs = [(i, t, "en") for i, t in enumerate(texts)] + [(100 + i, t, "en") for i, t in enumerate(kept)] + [(200 + i, _prose(rng), "en") for i in range(100)]
     found = {r.doc_id for r in spam.stuffed_pages(spark.createDataFrame(docs, D)).collect()}
     assert {0, 1, 2, 3, 4} <= found and not {100, 101, 102, 103, 104} & found
+
+
+def test_stuffed_code(spark):
+    rng = random.Random(9)
+    log = "\n".join(f"{rng.randrange(10, 24)}:{rng.randrange(10, 60)} {rng.choice(['WARN', 'INFO', 'step'])} value={rng.randrange(9999)} ch{rng.randrange(9)} ok" for _ in range(40))
+    scarce = _keywords(rng, 60)
+    heap = lambda: " ".join(rng.choice(scarce) for _ in range(100))
+    texts = [f"[code]{heap()}[/code]", f"[code] {heap()}", f"ok [code]\n{log}\n\n{' '.join(heap() for _ in range(8))}"]
+    kept = [f"[code]\n{log}\n[/code]", f"{_prose(rng)}\n[code]\n{log}", f"[code]\n{log}\n[/code]\n{_prose(rng)}"]
+    docs = [(i, t, "en") for i, t in enumerate(texts)] + [(100 + i, t, "en") for i, t in enumerate(kept)] + [(200 + i, _prose(rng), "en") for i in range(300)]
+    found = {r.doc_id for r in spam.stuffed_pages(spark.createDataFrame(docs, D)).collect()}
+    assert {0, 1, 2} <= found and not {100, 101, 102} & found
