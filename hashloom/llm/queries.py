@@ -39,9 +39,14 @@ def _distances(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_daily_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A summary for each method, length and day, kept as rows that later merge: with its row count and median."""
+    """The row count of the summary for each method, length and day, read from the sketch; p4_daily_summaries has the sketch itself."""
+    return p4_daily_summaries(spark, sf_dir).select("hashing_method_id", "hash_len", "day", F.kll_sketch_get_n_bigint("sketch").alias("n"))
+
+
+def p4_daily_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A summary for each method, length and day, kept as rows that later merge: the sketch, its row count and median."""
     parts = quantiles.sketches(_distances(spark, sf_dir), ["hashing_method_id", "hash_len"], "hamming_distance", ["day"])
-    return parts.select("hashing_method_id", "hash_len", "day", "n")
+    return parts.select("hashing_method_id", "hash_len", "day", "sketch", "n", F.kll_sketch_get_quantile_bigint("sketch", F.lit(0.5)).alias("median"))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,7 +103,7 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _P4_ROWS = "SELECT h.hashing_method_id, m.hash_len, m.hamming_distance, CAST(m.loaded_at AS DATE) AS day FROM matches m JOIN hashes h ON h.id = m.hash1_id WHERE m.hash_len IS NOT NULL AND m.hamming_distance >= 0"
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p4_daily_sketches": p4_daily_sketches, "p3_found": p3_found, "p6_assignment": p6_assignment, "p7_found": p7_found, "p7_passages": p7_passages, "p7_clean": p7_clean, "p8_found": p8_found, "p8_shares": p8_shares}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p4_daily_sketches": p4_daily_sketches, "p4_daily_summaries": p4_daily_summaries, "p3_found": p3_found, "p6_assignment": p6_assignment, "p7_found": p7_found, "p7_passages": p7_passages, "p7_clean": p7_clean, "p8_found": p8_found, "p8_shares": p8_shares}
 SQL = {
     "p1_found": """
 WITH best AS (SELECT hash1_id, hash2_id, hamming_distance, id, row_number() OVER (PARTITION BY hash1_id, hash2_id ORDER BY hamming_distance, id) AS r FROM matches

@@ -73,3 +73,14 @@ def test_sketch_error_is_bounded_and_merges(spark):
     for r in whole:
         assert abs(r.value / 60000 - r.pct / 100) <= 2 * quantiles.rank_error(k)
     assert quantiles.sketches(df.where("false"), ["g"], "v", ["day"]).count() == 0
+
+
+def test_daily_summaries(spark, tmp_path):
+    from hashloom.llm import queries
+
+    spark.createDataFrame([(i, i % 10, 0, 64, i % 21) for i in range(210)], "id bigint, hash1_id bigint, hash2_id bigint, hash_len int, hamming_distance int").selectExpr("*", "timestamp_ntz'2024-01-02 03:04:05' as loaded_at").write.parquet(f"{tmp_path}/matches.parquet")
+    spark.range(0, 10).selectExpr("id", "1 as hashing_method_id").write.parquet(f"{tmp_path}/hashes.parquet")
+    counts = queries.p4_daily_sketches(spark, str(tmp_path))
+    assert [r.n for r in counts.collect()] == [210]
+    assert "kll_sketch_agg" in counts._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r.n, r.median) for r in queries.p4_daily_summaries(spark, str(tmp_path)).collect()] == [(210, 10)]
