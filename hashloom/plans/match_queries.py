@@ -112,6 +112,8 @@ def classify(spark: SparkSession, d: str) -> DataFrame:
 
 def _counts(spark: SparkSession, d: str, pairing: str = "all") -> DataFrame:
     rows = views.paired(match_star(spark, d), pairing).withColumn("method", F.col("method_1"))
+    if pairing == "same_modification":
+        return roc.counted(rows.withColumn("modification", F.col("modification_1")), ["modification", "method"], _same())
     return roc.counted(rows, ["method"], _same())
 
 
@@ -123,9 +125,14 @@ def roc_merged(spark: SparkSession, d: str) -> DataFrame:
     return roc.rates(roc.merged(confusion_by_group(spark, d)))
 
 
+def confusion_by_modification(spark: SparkSession, d: str) -> DataFrame:
+    """A matrix for each modification, method and threshold, of the pairs under the same modification name."""
+    return roc.confusion(_counts(spark, d, "same_modification"), ["modification", "method"], roc.thresholds(spark))
+
+
 def roc_same_modification(spark: SparkSession, d: str) -> DataFrame:
     """Only pairs under the same modification name, as the literal reading has it."""
-    return roc.rates(roc.merged(roc.confusion(_counts(spark, d, "same_modification"), ["method"], roc.thresholds(spark))))
+    return roc.rates(roc.merged(confusion_by_modification(spark, d)))
 
 
 def roc_histogram(spark: SparkSession, d: str) -> DataFrame:
@@ -168,7 +175,7 @@ _EMB_PAIRS = "SELECT x.image_id AS i, y.image_id AS j, list_sum(list_transform(l
 QUERIES = {
     f.__name__: f
     for f in (
-        hamming, hamming_relative, pair_length_guard, method_cardinality, pair_histogram, roc_hashes, pair_unique, roc_rates, match_star_join, match_count, same_image, same_user, classify, confusion_by_group, roc_merged, roc_same_modification, roc_histogram,
+        hamming, hamming_relative, pair_length_guard, method_cardinality, pair_histogram, roc_hashes, pair_unique, roc_rates, match_star_join, match_count, same_image, same_user, classify, confusion_by_group, confusion_by_modification, roc_merged, roc_same_modification, roc_histogram,
         incoming_near,
     )
 }

@@ -95,3 +95,15 @@ def test_merge_of_parts_is_the_whole(spark):
     parts = roc.merged(roc.confusion(roc.counted(df, ["g"], F.col("truth")), ["g"], grid))
     whole = roc.confusion(roc.counted(df, [], F.col("truth")), [], grid)
     assert sorted(map(tuple, parts.collect())) == sorted(map(tuple, whole.select(parts.columns).collect()))
+
+
+def test_same_modification_has_matrices_by_modification(spark, monkeypatch):
+    from hashloom.plans import match_queries
+
+    rows = [("h", "h", "a", "a", 1, 1, 2, 64), ("h", "h", "a", "a", 1, 2, 2, 64), ("h", "h", "b", "b", 1, 1, 60, 64), ("h", "h", "a", "b", 1, 1, 2, 64), ("h", "k", "a", "a", 1, 1, 2, 64)]
+    star = spark.createDataFrame(rows, "method_1 string, method_2 string, modification_1 string, modification_2 string, image_id_1 int, image_id_2 int, hamming_distance int, hash_len int")
+    monkeypatch.setattr(match_queries, "match_star", lambda *_: star)
+    got = {(r.modification, r.method): (r.tp, r.fn, r.fp, r.tn) for r in match_queries.confusion_by_modification(spark, "").where("threshold_idx = 50").collect()}
+    assert got == {("a", "h"): (1, 0, 1, 0), ("b", "h"): (0, 1, 0, 0)}
+    whole = match_queries.roc_same_modification(spark, "").where("threshold_idx = 50").first()
+    assert (whole.tp, whole.fn, whole.fp, whole.tn) == (1, 1, 1, 0)
