@@ -9,12 +9,20 @@ class AlreadyRunning(HashloomError):
     """A run was started while another of the same engine is going on."""
 
 
+class InvalidSetting(HashloomError, ValueError):
+    """A part of an engine that can't be one."""
+
+
+class InvalidName(HashloomError, ValueError):
+    """A user's name that would lead out of the upload folder."""
+
+
 class PathNotFound(HashloomError):
     """The images' folder doesn't exist."""
 
 
 class UndecodableImage(HashloomError):
-    """A file that is no image; in a run it is recorded as a reject and skipped."""
+    """A file that is no image: a strict run ends with it, any other records it and goes on."""
 
 
 class ModificationNotFound(HashloomError):
@@ -34,7 +42,7 @@ class NotEnoughHashes(HashloomError):
 
 
 class HashesNotEqualLength(HashloomError):
-    """Two hashes of one method differ in length; their pairs are left out and counted."""
+    """Two hashes of one method differ in length: a strict run ends with it, any other leaves their pairs out."""
 
     def __init__(self, first: int, second: int):
         super().__init__(f"hashes of {first} and {second} bits")

@@ -15,11 +15,6 @@ def differing_bits(a: Column, b: Column) -> Column:
     return F.when(F.size(a) == F.size(b), total)
 
 
-def differing_word(a: Column, b: Column) -> Column:
-    """The same for one word each, inside generated code."""
-    return F.bit_count(a.bitwiseXOR(b))
-
-
 def hash_len(nbits: Column, rendering: str = "bits") -> Column:
     """Length that a hash of so many bits has in a rendering."""
     if rendering not in RENDERINGS:

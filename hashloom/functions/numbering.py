@@ -12,7 +12,9 @@ def numbered(df: DataFrame, order: list[str], name: str, start: int = 0, partiti
     """df with the column ``name``: start, start + 1, ... in ``order``, which should be unique for one fixed result.
 
     Rows are range-partitioned and numbered within their partition; the driver adds up one count a
-    partition. Nulls come first. An empty df stays empty.
+    partition, and a small table of these joins back. The partitioning samples its input first, so
+    df is read twice: hand in what is cheap to read again, else a durable result. Nulls come first.
+    An empty df stays empty.
     """
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -24,5 +26,6 @@ def numbered(df: DataFrame, order: list[str], name: str, start: int = 0, partiti
         base += counts[part]
     if not offsets:
         return ranged.withColumn(name, F.lit(0).cast("bigint")).drop("_part")
-    first = F.create_map(*(F.lit(x) for pair in offsets for x in pair))[F.col("_part")]
-    return ranged.withColumn(name, (F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1 + first).cast("bigint")).drop("_part")
+    first = spark.createDataFrame(offsets, "_part int, _first bigint")
+    placed = ranged.join(F.broadcast(first), "_part")  # a row a partition
+    return placed.withColumn(name, (F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1 + F.col("_first")).cast("bigint")).drop("_part", "_first")

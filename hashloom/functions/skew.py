@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 #: A key is heavy from this share of the rows on, so there are at most 1 / SHARE = 500 heavy keys.
@@ -20,11 +20,17 @@ def heavy_keys(df: DataFrame, key: str, share: float = SHARE) -> list:
 
 
 def heavy_of(counts: DataFrame, key: str, n: str, share: float = SHARE, total: int | None = None) -> list:
-    """heavy_keys of a table that has the rows already counted by key."""
-    if total is None:
-        total = counts.agg(F.sum(n)).first()[0] or 0
-    least = max(1000, int(total * share))
-    return [r[0] for r in counts.where(F.col(n) >= least).select(key).limit(int(1 / share) + 1).collect()]
+    """heavy_keys of a table that has the rows already counted by key.
+
+    One job: the largest counts come to the driver, 1 / share of them at most, and the total, where
+    it isn't handed in, is observed on the way.
+    """
+    seen = Observation()
+    most = int(1 / share) + 1
+    rows = counts.select(F.col(key).alias("k"), F.col(n).cast("bigint").alias("n")).observe(seen, F.sum("n").alias("total"))
+    largest = rows.orderBy(F.col("n").desc_nulls_last()).limit(most).collect()
+    least = max(1000, int(((seen.get["total"] if total is None else total) or 0) * share))
+    return [r["k"] for r in largest if (r["n"] or 0) >= least]
 
 
 def salted_join(big: DataFrame, small: DataFrame, key: str, heavy: list, how: str = "inner", on: Column | None = None, salts: int = SALTS) -> DataFrame:

@@ -15,11 +15,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hashloom.errors import NotEnoughHashes
+from hashloom.errors import HashesNotEqualLength, NotEnoughHashes
 from hashloom.functions.bits import hash_len
 
 #: Hashes in a block, about: a tile holds twice as many, whatever the table's size.
 BLOCK = 4096
+#: The same where the pairs themselves leave the tile: at most its square, some 25 MB.
+PAIR_BLOCK = 1024
 ROWS = 512
 
 
@@ -36,6 +38,14 @@ def require_enough(hashes: DataFrame, method: str = "hashing_method_id") -> None
         raise NotEnoughHashes(short[0], short["n"])
 
 
+def require_equal_lengths(hashes: DataFrame, method: str = "hashing_method_id") -> None:
+    """Raises HashesNotEqualLength for the first method whose hashes differ in length."""
+    ends = hashes.where("words is not null").groupBy(method).agg(F.min("nbits").alias("low"), F.max("nbits").alias("high"))
+    row = ends.where("low < high").orderBy(method).first()
+    if row:
+        raise HashesNotEqualLength(row["low"], row["high"])
+
+
 def unequal_lengths(hashes: DataFrame, method: str = "hashing_method_id") -> DataFrame:
     """(method, pairs): pairs that matching leaves out because the lengths differ."""
     per = hashes.where("words is not null").groupBy(method, "nbits").agg(F.count(F.lit(1)).alias("n"))
@@ -123,12 +133,12 @@ def partner_summary(hashes: DataFrame, within: int, block: int = BLOCK) -> DataF
     return total.where("partners > 0")
 
 
-def unique_pairs(hashes: DataFrame, rendering: str = "bits", within: float | None = None, block: int = BLOCK) -> DataFrame:
+def unique_pairs(hashes: DataFrame, rendering: str = "bits", within: float | None = None, block: int = PAIR_BLOCK) -> DataFrame:
     """(hash1_id, hash2_id, hamming_distance, hash_len, hashing_method_id): every unique pair, hash1_id < hash2_id.
 
     Pairs of unequal length are left out. The result grows with the square of the hashes of a
     method; ``within`` keeps only the pairs below that relative distance, which the tile drops
-    before they leave it.
+    slice by slice before they leave it.
     """
 
     def pairs(pdf: pd.DataFrame) -> pd.DataFrame:

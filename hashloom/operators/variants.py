@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import logging
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -21,6 +22,22 @@ def _batches(pdf: pd.DataFrame) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
         yield rows, np.stack([np.asarray(p, dtype=np.int64) for p in rows["px"]]).reshape(len(rows), h, w)
 
 
+def _tried(what: str, change: Callable[[np.ndarray], np.ndarray], px: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
+    """(places, results): what ``change`` makes of the batch; where it fails, of each image by itself, without those it fails on."""
+    try:
+        return np.arange(len(px)), change(px)
+    except Exception as e:  # noqa: BLE001 - registered code may fail in any way
+        logging.getLogger(__name__).warning("%s failed on a batch of %d, each image is tried by itself: %s", what, len(px), e)
+    places, results = [], []
+    for i in range(len(px)):
+        try:
+            results.append(change(px[i : i + 1]))
+            places.append(i)
+        except Exception as e:  # noqa: BLE001
+            logging.getLogger(__name__).warning("%s failed, the image is skipped: %s", what, e)
+    return np.array(places, dtype=np.int64), np.concatenate(results) if results else None
+
+
 def modified(images: DataFrame, selected: list[tuple[int, Modification]]) -> DataFrame:
     """One row for each image and selected modification; the unmodified image is not among them.
 
@@ -31,8 +48,10 @@ def modified(images: DataFrame, selected: list[tuple[int, Modification]]) -> Dat
         for pdf in frames:
             for rows, px in _batches(pdf):
                 for i, m in selected:
-                    out = m.apply(px)
-                    yield rows[["image_id", "user"]].assign(modification_id=i, h=out.shape[1], w=out.shape[2], px=list(out.reshape(len(out), -1).astype(np.int32)))
+                    at, out = _tried(m.name, m.apply, px)
+                    if out is None:
+                        continue
+                    yield rows[["image_id", "user"]].iloc[at].assign(modification_id=i, h=out.shape[1], w=out.shape[2], px=list(out.reshape(len(out), -1).astype(np.int32)))
 
     return images.select("image_id", "user", "h", "w", "px").mapInPandas(run, VARIANT)
 
@@ -44,22 +63,34 @@ def hashed(variants: DataFrame, methods: list[tuple[int, HashMethod]]) -> DataFr
         for pdf in frames:
             for rows, px in _batches(pdf):
                 for i, m in methods:
-                    data = grids.packed(m.bits(px))
-                    yield rows[["image_id", "user", "modification_id"]].assign(hashing_method_id=i, nbits=m.nbits, hash=[d.tobytes() for d in data], words=list(grids.to_words(data)))
+                    at, bits = _tried(m.name, m.bits, px)
+                    if bits is None:
+                        continue
+                    data = grids.packed(bits)
+                    yield rows[["image_id", "user", "modification_id"]].iloc[at].assign(hashing_method_id=i, nbits=m.nbits, hash=[d.tobytes() for d in data], words=list(grids.to_words(data)))
 
     return variants.mapInPandas(run, HASH)
 
 
 def hash_variants(images: DataFrame, modifications: list[tuple[int, Modification]], methods: list[tuple[int, HashMethod]]) -> DataFrame:
-    """modified and hashed in one pass: no variant's pixels leave the task."""
+    """modified and hashed in one pass: no variant's pixels leave the task.
+
+    A modification or method that fails on an image loses that image's variant or hash only; the
+    failure is logged where it happens.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             for rows, px in _batches(pdf):
                 for j, change in modifications:
-                    out = change.apply(px)
+                    done, out = _tried(change.name, change.apply, px)
+                    if out is None:
+                        continue
                     for i, m in methods:
-                        data = grids.packed(m.bits(out))
-                        yield rows[["image_id", "user"]].assign(modification_id=j, hashing_method_id=i, nbits=m.nbits, hash=[d.tobytes() for d in data], words=list(grids.to_words(data)))
+                        at, bits = _tried(m.name, m.bits, out)
+                        if bits is None:
+                            continue
+                        data = grids.packed(bits)
+                        yield rows[["image_id", "user"]].iloc[done[at]].assign(modification_id=j, hashing_method_id=i, nbits=m.nbits, hash=[d.tobytes() for d in data], words=list(grids.to_words(data)))
 
     return images.select("image_id", "user", "h", "w", "px").mapInPandas(run, HASH)

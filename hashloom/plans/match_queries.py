@@ -65,6 +65,16 @@ def pair_unique(spark: SparkSession, d: str) -> DataFrame:
     return matching.partner_summary(_grid_hashes(spark, d), 8)
 
 
+def unique_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """The match stage: every unique pair of the vectors' hashes with its distance."""
+    return matching.unique_pairs(_grid_hashes(spark, d))
+
+
+def near_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """The match stage as a large store runs it: only pairs below a relative distance of 0.3 leave their tile."""
+    return matching.unique_pairs(_grid_hashes(spark, d), within=0.3)
+
+
 def roc_rates(spark: SparkSession, d: str) -> DataFrame:
     """Flagship: vectors as grids, average hash, all unique pairs, 99 thresholds; truth is an equal label."""
     rows = _grid_hashes(spark, d).withColumn("truth", F.substring("user", 5, 20).cast("bigint"))
@@ -175,7 +185,7 @@ _EMB_PAIRS = "SELECT x.image_id AS i, y.image_id AS j, list_sum(list_transform(l
 QUERIES = {
     f.__name__: f
     for f in (
-        hamming, hamming_relative, pair_length_guard, method_cardinality, pair_histogram, roc_hashes, pair_unique, roc_rates, match_star_join, match_count, same_image, same_user, classify, confusion_by_group, confusion_by_modification, roc_merged, roc_same_modification, roc_histogram,
+        hamming, hamming_relative, pair_length_guard, method_cardinality, pair_histogram, roc_hashes, pair_unique, unique_pairs, near_pairs, roc_rates, match_star_join, match_count, same_image, same_user, classify, confusion_by_group, confusion_by_modification, roc_merged, roc_same_modification, roc_histogram,
         incoming_near,
     )
 }
@@ -189,6 +199,8 @@ SQL = {
     "roc_hashes": f"SELECT *, {_RATES} FROM (SELECT hashing_method_id, threshold_idx, threshold, {_CELLS} FROM (SELECT hashing_method_id, (hamming_distance::DOUBLE / nbits)::FLOAT AS entry, same, sum(pairs) AS n FROM ({_HISTOGRAM}) GROUP BY ALL), ({_GRID}) GROUP BY hashing_method_id, threshold_idx, threshold)",
     "pair_unique": f"""WITH e AS MATERIALIZED ({_EMB}), p AS ({_EMB_PAIRS}), s AS (SELECT i AS id, d FROM p UNION ALL SELECT j, d FROM p)
 SELECT id, count(*) AS partners, sum(d)::BIGINT AS sum_distance, min(d) AS nearest, count(*) FILTER (WHERE d <= 8) AS links FROM s GROUP BY id""",
+    "unique_pairs": f"WITH e AS MATERIALIZED ({_EMB}) SELECT i AS hash1_id, j AS hash2_id, d AS hamming_distance, 64 AS hash_len, 0 AS hashing_method_id FROM ({_EMB_PAIRS})",
+    "near_pairs": f"WITH e AS MATERIALIZED ({_EMB}) SELECT i AS hash1_id, j AS hash2_id, d AS hamming_distance, 64 AS hash_len, 0 AS hashing_method_id FROM ({_EMB_PAIRS}) WHERE d < 0.3 * 64",
     "roc_rates": f"WITH e AS MATERIALIZED ({_EMB}), c AS (SELECT (d::DOUBLE / 64)::FLOAT AS entry, same, count(*) AS n FROM ({_EMB_PAIRS}) GROUP BY ALL) SELECT *, {_RATES} FROM (SELECT threshold_idx, threshold, {_CELLS} FROM c, ({_GRID}) GROUP BY threshold_idx, threshold)",
     "match_star_join": f"SELECT id, method_1, method_2, modification_1, modification_2, image_id_1, image_id_2 FROM ({_STAR})",
     "match_count": f"SELECT modification_1 AS modification, method_1 AS method, count(*) AS matches FROM ({_STAR}) WHERE method_1 = method_2 AND modification_1 = modification_2 GROUP BY ALL",

@@ -51,6 +51,22 @@ def _hashed(name: str) -> Callable[[SparkSession, str], DataFrame]:
     return query
 
 
+#: The larger of the default sizes, by both default kinds.
+LARGE = (64, 256)
+
+
+def hash_large(spark: SparkSession, d: str) -> DataFrame:
+    """Hashes of the larger default sizes, as their number of ones and the sum of the ones' places (thousands of bits make a long text)."""
+    methods = [(registry.average_hash(s), registry.vert_gradient(s)) for s in LARGE]
+    named = {i: m for i, m in enumerate(m for pair in methods for m in pair)}
+    rows = hashed(image_grids(spark, d).withColumn("modification_id", F.lit(0)), list(named.items()))
+    name = F.element_at(F.array(*(F.lit(m.name) for m in named.values())), F.col("hashing_method_id") + 1)
+    word = lambda at: F.filter(F.sequence(F.lit(0), F.lit(63)), lambda b: F.get(F.col("words"), at).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("bigint"), 63 - b)) != 0)
+    place = F.aggregate(F.sequence(F.lit(0), F.size("words") - 1), F.lit(0).cast("bigint"), lambda s, at: s + F.aggregate(word(at), F.lit(0).cast("bigint"), lambda x, b: x + at * 64 + b))
+    ones = F.aggregate("words", F.lit(0).cast("bigint"), lambda s, w: s + F.bit_count(w))
+    return rows.select("image_id", name.alias("method"), "nbits", ones.alias("ones"), place.alias("places"))
+
+
 def fanout(spark: SparkSession, d: str) -> DataFrame:
     return hash_variants(image_grids(spark, d), list(enumerate(MODIFICATIONS.values())), list(enumerate(METHODS.values())))
 
@@ -107,6 +123,25 @@ def _px(sql: str, keep: str) -> str:
     return f"SELECT {keep}, array_to_string(px, ',') AS px FROM ({sql})"
 
 
+def _weights(table: np.ndarray) -> str:
+    """The table's weights that aren't zero, as rows (o, k, w)."""
+    return "SELECT * FROM (VALUES " + ", ".join(f"({o}, {k}, {table[o, k]})" for o, k in zip(*np.nonzero(table), strict=True)) + ") AS t(o, k, w)"
+
+
+def _large_sql(name: str, size: int) -> str:
+    """Resampling and comparison of one large hash by joins: a row a pixel instead of a list a picture."""
+    rows = size + (name == "vert_gradient")
+    down, across = _weights(grids.resize_table(N, rows)), _weights(grids.resize_table(N, size))
+    pixels = "SELECT image_id, i // 8 AS r, i % 8 AS c, px[(i + 1)::INT]::BIGINT AS v FROM g, range(64) AS t(i)"
+    first = f"SELECT image_id, d.o AS r, c, (32768 + sum(v * w)::BIGINT) >> 16 AS v FROM ({pixels}) p JOIN ({down}) d ON d.k = p.r GROUP BY ALL"
+    both = f"SELECT image_id, r, a.o AS c, (32768 + sum(v * w)::BIGINT) >> 16 AS v FROM ({first}) f JOIN ({across}) a ON a.k = f.c GROUP BY image_id, r, a.o"
+    if name == "average_hash":
+        bits = f"SELECT image_id, r * {size} + c AS i, v * {size * size} >= sum(v) OVER (PARTITION BY image_id) AS b FROM ({both})"
+    else:
+        bits = f"SELECT * FROM (SELECT image_id, r * {size} + c AS i, v < lead(v) OVER (PARTITION BY image_id, c ORDER BY r) AS b, r FROM ({both})) WHERE r < {size}"
+    return f"SELECT image_id, '{name}{size}' AS method, {size * size} AS nbits, count(*) FILTER (WHERE b) AS ones, coalesce(sum(i) FILTER (WHERE b), 0)::BIGINT AS places FROM ({bits}) GROUP BY image_id"
+
+
 _ALL = " UNION ALL ".join(f"SELECT image_id, {i} AS modification_id, px FROM ({modified_sql(n)})" for i, n in enumerate(MODIFICATIONS))
 
 QUERIES = {
@@ -114,6 +149,7 @@ QUERIES = {
     **{f"mod_{n}": _modified(n) for n in MODIFICATIONS},
     "modified_fanout": modified_fanout,
     **{f"hash_{n}": _hashed(n) for n in METHODS},
+    "hash_large": hash_large,
     "hash_fanout": hash_fanout,
 }
 SQL = {
@@ -124,3 +160,4 @@ SQL = {
     "hash_fanout": " UNION ALL ".join(f"SELECT image_id, modification_id, {i} AS hashing_method_id, bits FROM ({bits_sql(n, 'SELECT * FROM v', 'image_id, modification_id')})" for i, n in enumerate(METHODS)),
 }
 SQL["hash_fanout"] = f"WITH v AS MATERIALIZED ({_ALL}) {SQL['hash_fanout']}"
+SQL["hash_large"] = f"WITH g AS MATERIALIZED ({GRID_SQL}) " + " UNION ALL ".join(_large_sql(n, s) for s in LARGE for n in ("average_hash", "vert_gradient"))

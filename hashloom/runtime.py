@@ -1,4 +1,4 @@
-"""Lineage cuts that survive the loss of an executor, and table access."""
+"""Lineage cuts that survive the loss of an executor, files of the shared folder, and table access."""
 
 from __future__ import annotations
 
@@ -6,20 +6,31 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from hashloom.errors import StoreError
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where that is unset, as in tests."""
+    """The folder in spark.checkpoint.dir, which all executors share.
+
+    Where it is unset, a temporary folder of this machine serves a local master, as in tests; on a
+    cluster that is refused.
+    """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if sc.getCheckpointDir() is None:
+        if not named and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise StoreError("spark.checkpoint.dir has to name a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="hashloom-"))
     return named or sc.getCheckpointDir()
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """The rows of df, computed once and kept in the shared folder."""
+    """The rows of df, computed once and kept in the shared folder.
+
+    Spark removes the files once df is out of use if spark.cleaner.referenceTracking.cleanCheckpoints
+    is on, as session() has it; only static settings reach a session that already runs.
+    """
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
@@ -33,5 +44,39 @@ def tokenizer_dir() -> str:
     return os.environ.get("HASHLOOM_TOKENIZERS", "/opt/tokenizers")
 
 
-def empty_like(df: DataFrame) -> DataFrame:
-    return df.where(F.lit(False))
+def hadoop_path(spark: SparkSession, path: str) -> tuple:
+    """(file system, path) of a path in any file system that Spark knows."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, p = hadoop_path(spark, path)
+    return fs.exists(p)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    fs, p = hadoop_path(spark, path)
+    fs.delete(p, True)
+
+
+def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
+    fs, p = hadoop_path(spark, path)
+    out = fs.create(p, True)
+    try:
+        out.write(bytearray(data))
+    finally:
+        out.close()
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    write_bytes(spark, path, text.encode())
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    fs, p = hadoop_path(spark, path)
+    stream = fs.open(p)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()

@@ -12,11 +12,11 @@ WIDTH, HEIGHT, MARGIN, BAND = 1024, 768, 60, 100
 
 
 def plot_roc(rated: DataFrame, path: str) -> int:
-    """Writes the picture of a ROC with rates (a row a threshold, some hundred at most); the number of points drawn.
+    """Writes the picture of a ROC with rates (a row a threshold, so as many as the grid has); the number of points drawn.
 
     Points with a null rate aren't drawn; an empty ROC gives empty axes.
     """
-    points = rated.where("fp_rate is not null and tp_rate is not null").select("fp_rate", "tp_rate").limit(10_000).collect()
+    points = rated.where("fp_rate is not null and tp_rate is not null").select("fp_rate", "tp_rate").collect()
     bars = rate_histogram(rated).collect()
     most = max([1, *(b.n for b in bars)])
     wide, high = WIDTH - 2 * MARGIN - BAND, HEIGHT - 2 * MARGIN - BAND

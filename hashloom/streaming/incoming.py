@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from hashloom.functions.bits import differing_bits
 from hashloom.functions.skew import heavy_keys, salted_join
+from hashloom.runtime import exists
 
 
 def bands(hashes: DataFrame, count: int) -> DataFrame:
@@ -34,27 +35,57 @@ def near_stored(new: DataFrame, stored: DataFrame, distance: int) -> DataFrame:
     under an equal key; no pair is lost and all pairs are never made. A band that a large share of
     the new hashes have is salted; adaptive execution splits one that only the stored have.
     """
-    ready = lambda df: df.where("words is not null and nbits > 0").select("id", "hashing_method_id", "nbits", "words")
-    a = bands(ready(new), distance + 1).select(F.col("id").alias("new_id"), F.col("words").alias("new_words"), "band_key")
-    b = bands(ready(stored), distance + 1).select(F.col("id").alias("hash_id"), "words", "band_key")
+    return _near(_banded(new, distance), _banded(stored, distance), distance)
+
+
+def _banded(hashes: DataFrame, distance: int) -> DataFrame:
+    return bands(hashes.where("words is not null and nbits > 0").select("id", "hashing_method_id", "nbits", "words"), distance + 1)
+
+
+def _near(new: DataFrame, stored: DataFrame, distance: int) -> DataFrame:
+    a = new.select(F.col("id").alias("new_id"), F.col("words").alias("new_words"), "band_key")
+    b = stored.select(F.col("id").alias("hash_id"), "words", "band_key")
     both = salted_join(b, a, "band_key", heavy_keys(a, "band_key")).withColumn("hamming_distance", differing_bits(F.col("words"), F.col("new_words")))
     return both.where(F.col("hamming_distance") <= distance).select("new_id", "hash_id", "hamming_distance").distinct()
 
 
+#: Folders of a store's batch, by band key. A batch reads only the folders its own bands fall into.
+BUCKETS = 64
+STORED = "id bigint, hashing_method_id int, nbits int, words array<bigint>, band_key bigint, batch bigint, bucket int"
+
+
+def keep(hashes: DataFrame, store: str, distance: int, batch: int) -> None:
+    """Writes the hashes to the store under their bands, as that batch; written again, a batch replaces itself.
+
+    Stored hashes that no batch brought are loaded as batch -1.
+    """
+    rows = _banded(hashes, distance).withColumn("bucket", F.pmod("band_key", F.lit(BUCKETS)).cast("int"))
+    rows.repartition("bucket").sortWithinPartitions("bucket", "band_key").write.mode("overwrite").partitionBy("bucket").parquet(f"{store}/batch={batch}")
+
+
+def earlier(store: str, new: DataFrame, batch: int) -> DataFrame:
+    """Band rows of the batches before ``batch`` in the folders that the bands of ``new`` (banded) fall into; other folders aren't read."""
+    touched = [r[0] for r in new.select(F.pmod("band_key", F.lit(BUCKETS)).cast("int").alias("bucket")).distinct().collect()]  # BUCKETS numbers at most
+    known = new.sparkSession.read.schema(STORED).option("basePath", store).parquet(store)
+    return known.where((F.col("batch") < batch) & F.col("bucket").isin(touched))
+
+
 def detect(incoming: DataFrame, store: str, found: str, checkpoint: str, distance: int, available_now: bool = False):
     """Starts the stream: each batch is matched with the store, its matches are written, then it joins the store.
 
     Both writes go to a folder named by the batch number and replace it, so a batch that runs again
-    after a failure leaves the same rows: the batch is matched with the batches before it only.
+    after a failure leaves the same rows: the batch is matched with the batches before it only. The
+    store holds each hash under its bands, sorted, so a batch neither computes them anew nor reads
+    folders it shares no band with.
     """
 
     def run(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
         rows = batch.select("id", "hashing_method_id", "nbits", "words")
-        known = spark.read.schema(rows.schema).option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").parquet(store)
-        earlier = known.withColumn("_n", F.regexp_extract(F.input_file_name(), r"batch-(\d+)", 1)).where((F.col("_n") == "") | (F.col("_n").cast("int") < number)).drop("_n")
-        near_stored(rows, earlier, distance).write.mode("overwrite").parquet(f"{found}/batch-{number}")
-        rows.write.mode("overwrite").parquet(f"{store}/batch-{number}")
+        mine = _banded(rows, distance)
+        spark = batch.sparkSession
+        if exists(spark, store):
+            _near(mine, earlier(store, mine, number), distance).write.mode("overwrite").parquet(f"{found}/batch-{number}")
+        keep(rows, store, distance, number)
 
     writer = incoming.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

@@ -1,6 +1,7 @@
 import random
 
-from hashloom.streaming.incoming import detect, near_stored
+from hashloom.streaming import incoming as stream
+from hashloom.streaming.incoming import detect, keep, near_stored
 
 SCHEMA = "id bigint, hashing_method_id int, nbits int, words array<bigint>"
 
@@ -50,7 +51,7 @@ def test_wide_and_unequal_hashes(spark):
 def test_stream(spark, tmp_path):
     stored, new = _rows(40, 0), None
     store, source, found = (str(tmp_path / x) for x in ("store", "in", "found"))
-    spark.createDataFrame(stored, SCHEMA).write.parquet(f"{store}/first")
+    keep(spark.createDataFrame(stored, SCHEMA), store, 6, -1)
     new = _rows(30, 1000, stored)
     spark.createDataFrame(new, SCHEMA).coalesce(1).write.parquet(source)
     for _ in range(2):  # the second start finds nothing new
@@ -59,4 +60,13 @@ def test_stream(spark, tmp_path):
     got = spark.read.parquet(f"{found}/*").collect()
     want = sorted((a[0], b[0], d) for a in new for b in stored if (d := _near(a, b, 6)) is not None)
     assert sorted(map(tuple, got)) == want
-    assert spark.read.option("recursiveFileLookup", True).parquet(store).count() == 70
+    assert spark.read.parquet(store).select("id").distinct().count() == 70
+
+
+def test_a_batch_reads_the_folders_of_its_bands_only(spark, tmp_path):
+    store = str(tmp_path / "store")
+    keep(spark.createDataFrame(_rows(400, 0), SCHEMA), store, 3, 0)
+    one = stream._banded(spark.createDataFrame(_rows(1, 9000), SCHEMA), 3)
+    read = stream.earlier(store, one, 1)
+    assert 0 < read.select("bucket").distinct().count() <= 4 and read.count() < 400
+    assert stream.earlier(store, one, 0).count() == 0
