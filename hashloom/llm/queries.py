@@ -26,7 +26,7 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = dedup.arrivals(*(table(spark, sf_dir, t) for t in ("hashes", "modified_images", "run_images", "runs")))
     store = dedup.FingerprintStore(spark, f"{shared_dir(spark)}/fingerprints-{uuid.uuid4().hex}")
     try:
-        return dedup.deduplicate(rows, store).select(F.col("id").alias("hash_id"))
+        return durable(dedup.deduplicate(rows, store).select(F.col("id").alias("hash_id")))
     finally:
         store.drop()
 

@@ -67,53 +67,105 @@ def _brute(hashes, variants, listed, runs):
     return cases
 
 
-@pytest.mark.parametrize("seed,flat,batches,hot", [(1, False, 1, 200), (2, False, 3, 200), (3, True, 2, 3)])
-def test_dedup_against_brute_force(spark, tmp_path, monkeypatch, seed, flat, batches, hot):
+@pytest.mark.parametrize("seed,flat,batches,hot,rows_a_batch", [(1, False, 1, 200, 1 << 22), (2, False, 4, 200, 40), (3, True, 3, 3, 1 << 22)])
+def test_dedup_against_brute_force(spark, tmp_path, monkeypatch, seed, flat, batches, hot, rows_a_batch):
+    """The second case cuts runs into several batches, the third has hot fingerprints and hot halves."""
     monkeypatch.setattr(dedup, "HOT", hot)
+    if flat:
+        monkeypatch.setattr(dedup, "heavy_keys", lambda df, key: [r[0] for r in df.groupBy(key).count().where("count > 20").collect()])
     hashes, variants, listed, runs = _world(seed, flat)
     rows = dedup.arrivals(spark.createDataFrame(hashes, H), spark.createDataFrame(variants, "id bigint, image_id bigint, modification_id int, extra string"), spark.createDataFrame(listed, "id bigint, run_id bigint, image_id bigint, run_no string"), spark.createDataFrame(runs, "id bigint, timestamp bigint, extra string"))
-    store = dedup.FingerprintStore(spark, str(tmp_path / uuid.uuid4().hex), parts=3)
-    got = [r.id for r in dedup.deduplicate(rows, store, batches).collect()]
+    store = dedup.FingerprintStore(spark, str(tmp_path / uuid.uuid4().hex), bucket_rows=64, fanout=2)
+    got = [r.id for r in dedup.deduplicate(rows, store, batches, rows_a_batch).collect()]
     assert len(got) == len(set(got)) and set(got) == _brute(hashes, variants, listed, runs)
 
 
-def test_store_goes_on_where_it_was(spark, tmp_path):
-    rng = random.Random(6)
-    path = str(tmp_path / "kept")
+def _values(spark, datas, run):
+    rows = [(1, bytearray(d), run, *np.frombuffer(d, ">i8").astype(np.int64).tolist()) for d in datas]
+    return spark.createDataFrame(rows, "kind int, value binary, run_no bigint, w0 bigint, w1 bigint, w2 bigint, w3 bigint")
 
-    def values(datas, run):
-        rows = [(1, bytearray(b"\0\0\0\1" + d), run, *np.frombuffer(d, ">i8").astype(np.int64).tolist()) for d in datas]
-        return spark.createDataFrame(rows, "kind int, value binary, run_no int, w0 bigint, w1 bigint, w2 bigint, w3 bigint")
 
+def test_store_goes_on_where_it_was(spark, tmp_path, monkeypatch):
+    rng = random.Random(6)
+    path = str(tmp_path / "kept")
     first = [rng.randbytes(32) for _ in range(20)]
-    assert dedup.FingerprintStore(spark, path, parts=2).ingest(values(first, 1)).count() == 20
-    again = dedup.FingerprintStore(spark, path, parts=2)
-    assert again.batches == 1
+    assert dedup.FingerprintStore(spark, path).ingest(_values(spark, first, 1)).count() == 20
+    with monkeypatch.context() as m:  # cut off after the layer and before the manifest
+        m.setattr(dedup.FingerprintStore, "_commit", lambda *a: (_ for _ in ()).throw(KeyboardInterrupt))
+        with pytest.raises(KeyboardInterrupt):
+            dedup.FingerprintStore(spark, path).ingest(_values(spark, [rng.randbytes(32)], 2))
+    again = dedup.FingerprintStore(spark, path)
+    assert again.batches == 1 and len(again.layers) == 1
     second = [_flip(d, rng.sample(range(256), 10)) for d in first[:10]] + [_flip(first[11], rng.sample(range(256), 11)), rng.randbytes(32)]
-    assert {bytes(r.value)[4:] for r in again.ingest(values(second, 2)).collect()} == set(second[10:])
-    again.drop()
+    assert {bytes(r.value) for r in again.ingest(_values(spark, second, 2)).collect()} == set(second[10:])
+    same_run = dedup.FingerprintStore(spark, path)
+    assert same_run.ingest(_values(spark, [_flip(second[11], [3])], 2)).count() == 1  # of the same run, in a later batch
+    assert same_run.ingest(_values(spark, [_flip(second[11], [3, 9])], 3)).count() == 0
+    same_run.drop()
     assert dedup.FingerprintStore(spark, path).batches == 0
 
 
+def test_what_is_read_follows_the_positives(spark, tmp_path):
+    """History grows tenfold; a batch with three repeats reads about the same few folders."""
+    rng = random.Random(8)
+    read = []
+    for size in (500, 5000):
+        store = dedup.FingerprintStore(spark, str(tmp_path / str(size)), bucket_rows=100)
+        history = [rng.randbytes(32) for _ in range(size)]
+        store.ingest(_values(spark, history, 1))
+        batch = _values(spark, [_flip(d, rng.sample(range(256), 4)) for d in history[:3]] + [rng.randbytes(32) for _ in range(40)], 2)
+        found = store.screened(batch)
+        assert {r.value for r in store.known(batch).collect()} == {bytes(r.value) for r in batch.collect()[:3]}
+        read.append(store.lookup(found).count())
+        assert found.count() <= 3 * 6 + 25
+        assert read[-1] <= 100 * 1.6 * found.select("variant").distinct().count()
+    assert read[1] < 0.25 * 5000 * 6 and read[1] < 3 * read[0]
+
+
+def test_layers_are_merged(spark, tmp_path):
+    rng = random.Random(9)
+    store = dedup.FingerprintStore(spark, str(tmp_path / "s"), fanout=3)
+    kept = []
+    for run in range(7):
+        kept.append([rng.randbytes(32) for _ in range(10)])
+        store.ingest(_values(spark, kept[-1], run))
+        assert len(store.layers) <= 4
+    assert sum(x["prints"] for x in store.layers) == 7 * 10 * 6
+    assert len([p for p in (tmp_path / "s").iterdir() if p.name.startswith("layer-")]) == len(store.layers)
+    assert store.known(_values(spark, [_flip(k[0], [1, 77]) for k in kept], 9)).count() == 7
+
+
 def test_dedup_empty(spark, tmp_path):
     rows = dedup.arrivals(spark.createDataFrame([], H), spark.createDataFrame([], "id bigint, image_id bigint"), spark.createDataFrame([], "id bigint, run_id bigint, image_id bigint"), spark.createDataFrame([], "id bigint, timestamp bigint"))
     assert dedup.deduplicate(rows, dedup.FingerprintStore(spark, str(tmp_path / "s"))).count() == 0
 
 
 def test_blocks_lose_no_pair():
-    spans = dedup.blocks(256, 10)
-    assert spans[0][0] == 0 and spans[-1][1] == 256 and all(a[1] == b[0] for a, b in zip(spans, spans[1:], strict=False)) and len(spans) == 11
+    for n in (11, 6):
+        spans = dedup.blocks(256, n)
+        assert spans[0][0] == 0 and spans[-1][1] == 256 and all(a[1] == b[0] for a, b in zip(spans, spans[1:], strict=False)) and len(spans) == n
+    assert dedup.coarse(10) == 6 and 10 // 6 == 1
 
 
 def test_filter_has_no_false_negatives():
     import pandas as pd
 
-    h = np.random.default_rng(1).integers(-(2**63), 2**63 - 1, 5000)
-    layer = dedup._filter(pd.DataFrame({"part": 0, "h": h}))
-    asked = pd.DataFrame({"part": 0, "kind": 1, "print": range(5000), "h": h})
-    assert len(dedup._screen(asked, layer)) == 5000
-    other = asked.assign(h=np.random.default_rng(2).integers(-(2**63), 2**63 - 1, 5000))
-    assert len(dedup._screen(other, layer)) < 250
+    rng = np.random.default_rng(1)
+    prints = (rng.integers(0, 6, 4000) << 48) | rng.integers(0, 1 << 42, 4000)
+    rows = pd.DataFrame({"block": np.repeat([3, 8], 2000), "kind": 1, "print": prints})
+    layers = list(dedup.build_filters(iter([rows.iloc[:1500], rows.iloc[1500:]])))
+    assert [int(x["block"].iloc[0]) for x in layers] == [3, 8]
+    bits = [np.unpackbits(np.frombuffer(x["bits"].iloc[0], np.uint8)).astype(bool) for x in layers]
+    sizes = dedup._halves(6)
+    ones = np.ones(2000, np.int64)
+    at, variants = dedup.known_variants(prints[:2000], ones, 0 * ones, bits[:1], sizes)
+    assert set(at[variants == prints[:2000][at]]) == set(range(2000))
+    turned = prints[:2000] ^ (1 << 30)  # a bit of the high half: tried under the low half
+    at, variants = dedup.known_variants(turned, ones, ones, bits[:1], sizes)
+    assert set(zip(at.tolist(), variants.tolist(), strict=True)) >= set(enumerate(prints[:2000].tolist()))
+    other = (rng.integers(0, 6, 2000) << 48) | rng.integers(0, 1 << 42, 2000)
+    at, _ = dedup.known_variants(other, ones, 0 * ones, bits[:1], sizes)
+    assert len(at) < 0.01 * 2000 * 22
 
 
 def _exact(rows, asked, k):
