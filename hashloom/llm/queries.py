@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from hashloom.functions.skew import heavy_keys, salted_join
 from hashloom.llm import dedup, leaks, nearest, packing, quantiles, spam, topn
-from hashloom.runtime import durable, shared_dir, table, tokenizer_dir
+from hashloom.runtime import durable, remove, shared_dir, table, tokenizer_dir
 
 PCTS = [1, 5, 25, 50, 75, 95, 99]
 
@@ -38,24 +38,37 @@ def _distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return salted_join(rows, methods, "hash1_id", heavy_keys(rows, "hash1_id")).select("hashing_method_id", "hash_len", "hamming_distance", "day")
 
 
+_GROUP = ["hashing_method_id", "hash_len"]
+
+
 def p4_daily_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The row count of the summary for each method, length and day, read from the sketch; p4_daily_summaries has the sketch itself."""
-    return p4_daily_summaries(spark, sf_dir).select("hashing_method_id", "hash_len", "day", F.kll_sketch_get_n_bigint("sketch").alias("n"))
+    """The summary of each method, length and day, as what is read from it: its row count and its median."""
+    return p4_daily_summaries(spark, sf_dir).drop("sketch")
 
 
 def p4_daily_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A summary for each method, length and day, kept as rows that later merge: the sketch, its row count and median."""
-    parts = quantiles.sketches(_distances(spark, sf_dir), ["hashing_method_id", "hash_len"], "hamming_distance", ["day"])
-    return parts.select("hashing_method_id", "hash_len", "day", "sketch", "n", F.kll_sketch_get_quantile_bigint("sketch", F.lit(0.5)).alias("median"))
+    parts = quantiles.sketches(_distances(spark, sf_dir), _GROUP, "hamming_distance", ["day"])
+    return parts.select(*_GROUP, "day", "sketch", F.kll_sketch_get_n_bigint("sketch").alias("n"), F.kll_sketch_get_quantile_bigint("sketch", F.lit(0.5)).alias("median"))
+
+
+def p4_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percentiles by method and length from the merged summaries of the days alone, each with the bounds of its rank error."""
+    parts = quantiles.sketches(_distances(spark, sf_dir), _GROUP, "hamming_distance", ["day"])
+    return quantiles.bounded_percentiles(quantiles.merge_sketches(parts, _GROUP), _GROUP, PCTS)
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Percentiles of the distance by method and length: daily summaries, merged, then checked."""
-    group = ["hashing_method_id", "hash_len"]
-    rows = _distances(spark, sf_dir)
-    parts = durable(quantiles.sketches(rows, group, "hamming_distance", ["day"]))
-    merged = quantiles.merge_sketches(parts, group)
-    return quantiles.exact_percentiles(rows, group, "hamming_distance", merged, PCTS).select(*group, "pct", F.col("value").cast("int").alias("hamming_distance"))
+    """Percentiles of the distance by method and length: daily summaries, merged, then settled by one more pass over the joined rows."""
+    path = f"{shared_dir(spark)}/distances-{uuid.uuid4().hex}"
+    try:
+        _distances(spark, sf_dir).write.parquet(path)
+        rows = spark.read.parquet(path)
+        parts = durable(quantiles.sketches(rows, _GROUP, "hamming_distance", ["day"]))
+        merged = quantiles.merge_sketches(parts, _GROUP)
+        return durable(quantiles.exact_percentiles(rows, _GROUP, "hamming_distance", merged, PCTS).select(*_GROUP, "pct", F.col("value").cast("int").alias("hamming_distance")))
+    finally:
+        remove(spark, path)
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,7 +85,11 @@ def p6_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leaks.leaked_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+    kept = leaks.TrainingSuffixes(spark, f"{shared_dir(spark)}/suffixes-{uuid.uuid4().hex}")
+    try:
+        return durable(kept.build(table(spark, sf_dir, "documents")).search(table(spark, sf_dir, "eval_items")))
+    finally:
+        kept.drop()
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,7 +120,26 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _P4_ROWS = "SELECT h.hashing_method_id, m.hash_len, m.hamming_distance, CAST(m.loaded_at AS DATE) AS day FROM matches m JOIN hashes h ON h.id = m.hash1_id WHERE m.hash_len IS NOT NULL AND m.hamming_distance >= 0"
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p4_daily_sketches": p4_daily_sketches, "p4_daily_summaries": p4_daily_summaries, "p3_found": p3_found, "p6_assignment": p6_assignment, "p7_found": p7_found, "p7_passages": p7_passages, "p7_clean": p7_clean, "p8_found": p8_found, "p8_shares": p8_shares}
+_TAG = r"(?is)<!--.*?-->|</?[a-zA-Z][^<>]*>|\[/?(?:quote|b|i|u|s|url|img|code|size|color|font|list|center|left|right|spoiler|email|youtube|\*)(?:=[^\[\]]*)?\]"
+
+
+def _decoded(text: str) -> str:
+    """SQL that decodes the entities that the texts hold, once: the ampersand's own comes last."""
+    for entity, char in (("&nbsp;", " "), ("&#8212;", " "), ("&#44;", ","), ("&#63;", "?"), ("&gt;", ">"), ("&lt;", "<"), ("&quot;", '"'), ("&#39;", "''"), ("&AMP;", "&"), ("&amp;", "&")):
+        text = f"replace({text}, '{entity}', '{char}')"
+    return text
+
+
+def _grams(table: str, key: str) -> str:
+    """SQL of the stretches of 12 words of each text of a table."""
+    plain = f"regexp_replace(regexp_replace({_decoded('text')}, '{_TAG}', ' ', 'g'), '[\\x{{00AD}}\\x{{200B}}\\x{{200C}}\\x{{200D}}\\x{{2060}}\\x{{FEFF}}]', '', 'g')"
+    words = f"SELECT {key}, regexp_extract_all(lower({plain}), '[a-z0-9]+') AS w FROM {table} WHERE text IS NOT NULL"
+    return f"SELECT DISTINCT {key}, array_to_string(w[i:i + 11], ' ') AS gram FROM (SELECT {key}, w, unnest(range(1, len(w) - 10)) AS i FROM ({words}) WHERE len(w) >= 12)"
+
+
+_LEAKS = f"SELECT DISTINCT doc_id, item_id FROM ({_grams('documents', 'doc_id')}) d JOIN ({_grams('eval_items', 'item_id')}) i USING (gram)"
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p4_daily_sketches": p4_daily_sketches, "p4_daily_summaries": p4_daily_summaries, "p4_bounded": p4_bounded, "p3_found": p3_found, "p6_assignment": p6_assignment, "p7_found": p7_found, "p7_passages": p7_passages, "p7_clean": p7_clean, "p8_found": p8_found, "p8_shares": p8_shares}
 SQL = {
     "p1_found": """
 WITH best AS (SELECT hash1_id, hash2_id, hamming_distance, id, row_number() OVER (PARTITION BY hash1_id, hash2_id ORDER BY hamming_distance, id) AS r FROM matches
@@ -120,5 +156,10 @@ d AS (SELECT q.id AS q, h.id AS o, list_sum(list_transform(list_zip(q.words, h.w
  FROM q JOIN hashes h ON h.hashing_method_id = q.hashing_method_id AND h.nbits = q.nbits AND h.id <> q.id WHERE h.words IS NOT NULL),
 r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY dist, o) AS k FROM d)
 SELECT DISTINCT least(q, o) AS hash_a, greatest(q, o) AS hash_b FROM r WHERE k <= 5""",
-    "p4_daily_sketches": f"SELECT hashing_method_id, hash_len, day, count(*) AS n FROM ({_P4_ROWS}) GROUP BY ALL",
+    "p7_found": _LEAKS,
+    "p7_clean": f"SELECT doc_id FROM documents WHERE doc_id IS NULL OR doc_id NOT IN (SELECT doc_id FROM ({_LEAKS}) WHERE doc_id IS NOT NULL)",
+    "p4_daily_sketches": f"""
+WITH c AS (SELECT hashing_method_id, hash_len, day, hamming_distance, count(*) AS n FROM ({_P4_ROWS}) GROUP BY ALL),
+u AS (SELECT *, sum(n) OVER (PARTITION BY hashing_method_id, hash_len, day ORDER BY hamming_distance) AS upto, sum(n) OVER (PARTITION BY hashing_method_id, hash_len, day) AS total FROM c)
+SELECT hashing_method_id, hash_len, day, any_value(total)::BIGINT AS n, min(hamming_distance) FILTER (WHERE 2 * upto >= total)::BIGINT AS median FROM u GROUP BY hashing_method_id, hash_len, day""",
 }

@@ -81,6 +81,28 @@ def test_daily_summaries(spark, tmp_path):
     spark.createDataFrame([(i, i % 10, 0, 64, i % 21) for i in range(210)], "id bigint, hash1_id bigint, hash2_id bigint, hash_len int, hamming_distance int").selectExpr("*", "timestamp_ntz'2024-01-02 03:04:05' as loaded_at").write.parquet(f"{tmp_path}/matches.parquet")
     spark.range(0, 10).selectExpr("id", "1 as hashing_method_id").write.parquet(f"{tmp_path}/hashes.parquet")
     counts = queries.p4_daily_sketches(spark, str(tmp_path))
-    assert [r.n for r in counts.collect()] == [210]
+    assert [(r.n, r.median) for r in counts.collect()] == [(210, 10)]
     assert "kll_sketch_agg" in counts._jdf.queryExecution().optimizedPlan().toString()
     assert [(r.n, r.median) for r in queries.p4_daily_summaries(spark, str(tmp_path)).collect()] == [(210, 10)]
+
+
+def test_kept_summaries_merge_by_day(spark, tmp_path):
+    """Days come in one by one, a day again; percentiles come from what is kept, within the bounds."""
+    path, k = str(tmp_path / "kept"), 200
+    rows = spark.range(0, 40000).select((F.col("id") * 7919 % 40000).cast("int").alias("v"), (F.col("id") % 4).cast("int").alias("day"), F.lit(1).alias("g"))
+    for day in (0, 1, 2, 3, 2):
+        quantiles.write_sketches(quantiles.sketches(rows.where(F.col("day") == day), ["g"], "v", ["day"], k), path, ["day"])
+    kept = spark.read.parquet(path)
+    assert kept.count() == 4
+    found = quantiles.bounded_percentiles(quantiles.merge_sketches(kept, ["g"], k), ["g"], [1, 50, 99], k).collect()
+    assert len(found) == 3
+    for r in found:
+        assert r.low <= r.value <= r.high and r.low <= 40000 * r.pct / 100 <= r.high
+
+
+def test_percentiles_of_one_large_group_are_counted_in_slices(spark):
+    df = spark.range(0, 30000).select((F.col("id") * 7919 % 30011).alias("v"), F.lit(1).alias("g"), (F.col("id") % 3).alias("day"))
+    merged = quantiles.merge_sketches(quantiles.sketches(df, ["g"], "v", ["day"], 100), ["g"], 100)
+    values = [r.v for r in df.collect()]
+    got = {r.pct: r.value for r in quantiles.exact_percentiles(df, ["g"], "v", merged, [5, 50, 95], 100).collect()}
+    assert got == {p: _exact(values, p) for p in (5, 50, 95)}

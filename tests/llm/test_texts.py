@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from hashloom.llm import leaks, packing, spam
 from hashloom.llm.words import words
 
@@ -27,7 +29,7 @@ def _leaks_brute(docs, items, n=12):
     return out
 
 
-def test_leaks_against_brute_force(spark):
+def test_leaks_against_brute_force(spark, tmp_path):
     rng = random.Random(3)
     vocabulary = [f"w{i}" for i in range(25)]
     items = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.choice([5, 12, 30, 60]))), "x") for i in range(30)]
@@ -43,8 +45,10 @@ def test_leaks_against_brute_force(spark):
     docs += [(500, None, "en"), (501, "", "en"), (None, items[5][1] + " " + items[7][1], "en"), (7, docs[6][1], "en")]
     df, it = spark.createDataFrame(docs, D), spark.createDataFrame(items, I)
     want = _leaks_brute(docs, items)
-    for settings in ({}, {"shard_words": 50}, {"block_words": 40}):
-        got = leaks.leaked_passages(df, it, **settings).collect()
+    for k, (build, search) in enumerate((({}, {}), ({"shard_words": 50}, {}), ({}, {"block_words": 400}))):
+        kept = leaks.TrainingSuffixes(spark, f"{tmp_path}/{k}")
+        assert not kept.built() and kept.build(df, **build).built()
+        got = kept.search(it, **search).collect()
         assert {(r.doc_id, r.item_id) for r in got} == want
     for r in got:
         if r.doc_id is not None and r.doc_id != 7:
@@ -52,17 +56,53 @@ def test_leaks_against_brute_force(spark):
             a, b, n = r.doc_word, r.item_word, r.n_words
             assert n >= 12 and doc[a : a + n] == item[b : b + n]
             assert doc[a + n : a + n + 1] != item[b + n : b + n + 1] or a + n == len(doc)
-    clean = leaks.without_leaks(df.select("doc_id"), leaks.leaked_passages(df, it))
+    later = leaks.TrainingSuffixes(spark, f"{tmp_path}/0")  # another test set, the same shards
+    other = [i for i in items if i[0] in (4, 5)]
+    assert {(r.doc_id, r.item_id) for r in later.search(spark.createDataFrame(other, I)).collect()} == {w for w in want if w[1] in (4, 5)}
+    clean = leaks.without_leaks(df.select("doc_id"), later.search(it))
     assert {r.doc_id for r in clean.collect()} == {d for d, *_ in docs if d is None or all(d != w for w, _ in want)}
 
 
-def test_leaks_empty(spark):
+def test_leaks_empty(spark, tmp_path):
     docs, items = spark.createDataFrame([], D), spark.createDataFrame([], I)
     one = spark.createDataFrame([(1, "a " * 20, "x")], I)
-    assert leaks.leaked_passages(docs, items).count() == 0
-    assert leaks.leaked_passages(docs, one).count() == 0
-    repeated = leaks.leaked_passages(spark.createDataFrame([(1, "a " * 500, "x")], D), one).collect()
-    assert [(r.doc_id, r.item_id, r.n_words) for r in repeated] == [(1, 1, 20)]
+    nothing = leaks.TrainingSuffixes(spark, f"{tmp_path}/0").build(docs)
+    assert nothing.search(items).count() == 0 and nothing.search(one).count() == 0
+    repeated = leaks.TrainingSuffixes(spark, f"{tmp_path}/1").build(spark.createDataFrame([(1, "a " * 500, "x")], D))
+    assert [(r.doc_id, r.item_id, r.n_words) for r in repeated.search(one).collect()] == [(1, 1, 20)]
+    repeated.drop()
+    assert not repeated.built()
+
+
+def test_suffixes_are_in_order():
+    rng = random.Random(1)
+    docs = [[rng.choice("ab") for _ in range(rng.randrange(1, 40))] for _ in range(40)] + [["a"] * 60] * 3 + [["c", "a", "b"] * 30] * 2
+    shard = leaks.shard_of(list(range(len(docs))), docs, 2).iloc[0]
+    import numpy as np
+
+    text, order = np.frombuffer(shard["text"], np.int32), np.frombuffer(shard["suffixes"], np.int32)
+    ends = np.flatnonzero(text == 0)
+    rest = [tuple(text[p : ends[np.searchsorted(ends, p)]].tolist()) for p in order]
+    assert rest == sorted(rest) and len(rest) == sum(max(0, len(d) - 1) for d in docs) and len(set(order.tolist())) == len(order)
+
+
+def test_a_passage_that_all_share_stays_small():
+    """Each of 700 posts holds each of 700 items' common preamble: 490,000 results, extended a slice at a time."""
+    import tracemalloc
+
+    preamble = [f"p{i}" for i in range(12)]
+    docs = [[*preamble, f"d{d}", "x", "y"] for d in range(700)]
+    items = [(i, [*preamble, f"i{i}", "z"]) for i in range(700)]
+    shard, tests = leaks.shard_of(list(range(700)), docs).iloc[0], leaks.TestSuffixes(items)
+    assert len(tests.windows) == 1 + 2 * 700
+    tracemalloc.start()
+    rows = most = 0
+    for part in leaks.search_shard(shard, tests, 1 << 14):
+        rows, most = rows + len(part), max(most, len(part))
+        assert (part["n_words"] == 12).all()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == 490_000 and most <= (1 << 14) + 700 and peak < 60e6
 
 
 def _check_packing(rows, sizes, capacity):
@@ -74,7 +114,7 @@ def _check_packing(rows, sizes, capacity):
     for spans in spaces.values():
         spans.sort()
         assert spans[0][0] == 0 and spans[-1][1] <= capacity
-        assert all(a[1] == b[0] for a, b in zip(spans, spans[1:], strict=False))
+        assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:], strict=False))  # a window may leave some of its length
     for i, n in sizes.items():
         own = placed.pop(i)
         assert sum(r.n for r in own) == n and (len(own) == 1 or n > capacity)
@@ -94,6 +134,8 @@ def test_packing(spark):
     for r in rows:
         steps.setdefault(r.step_group, set()).add(r.container)
     assert max(map(len, steps.values())) <= 4
+    assert {r.tier for r in rows} == {25, 50, 100} == {r.window for r in rows} and all(r.n <= r.tier <= r.window for r in rows)
+    assert all(r.start % r.window + r.n <= r.window for r in rows) and any(r.tier < r.window for r in rows)
     assert packing.pack(df.where("false"), "id", "n", 100).count() == 0
 
 
@@ -106,13 +148,43 @@ def test_packing_one_hot_size(spark):
 def test_layouts_use_all_counts():
     counts = {1: 5, 40: 7, 61: 3, 100: 2, 33: 50}
     left = dict(counts)
-    for many, layout in packing.pack_counts(counts, 100):
-        assert sum(s * u for s, u in layout.items()) <= 100
+    for many, length, layout in packing.pack_counts(counts, 100):
+        assert sum(s * u for s, u in layout.items()) <= length
         for s, u in layout.items():
             left[s] -= many * u
     assert not any(left.values())
 
 
+def _documents(n=20_000):
+    """Log-normal sizes, as counts."""
+    import numpy as np
+
+    sizes = np.minimum(2048, np.maximum(1, np.random.default_rng(4).lognormal(5, 1.2, n).astype(int)))
+    return dict(zip(*(x.tolist() for x in np.unique(sizes, return_counts=True)), strict=True))
+
+
+def test_tiers_have_windows_of_their_own():
+    counts = _documents()
+    assert packing.tier_lengths(2048) == [256, 512, 1024, 2048] and packing.tier_lengths(100) == [25, 50, 100]
+    layouts = {t: packing.pack_counts(counts, 2048, list(t)) for t in ((2048,), (1024, 2048), (256, 512, 1024, 2048))}
+    for tiers, found in layouts.items():
+        assert {length for _, length, _ in found} == set(tiers)
+        own = 0
+        for many, length, layout in found:
+            # a window is opened by an item of its own tier, unless a longer one is filled better
+            own += many * (max(layout) > max((t for t in tiers if t < length), default=0))
+            assert sum(s * u for s, u in layout.items()) <= length
+        assert own > 0.9 * sum(many for many, *_ in found)
+    assert any(len({next(t for t in (256, 512, 1024, 2048) if s <= t) for s in layout}) > 1 for _, length, layout in layouts[256, 512, 1024, 2048] if length == 2048)
+    assert layouts[2048,] != layouts[1024, 2048] != layouts[256, 512, 1024, 2048]
+    total = sum(s * n for s, n in counts.items())
+    for found in layouts.values():
+        used = -(-sum(many * length for many, length, _ in found) // 2048)
+        assert used <= -(-total // 2048) * 1.0005 + 1
+    with pytest.raises(ValueError):
+        packing.pack_counts(counts, 2048, [100, 2048])
+
+
 def test_tokens(spark):
     df = spark.createDataFrame([(1, "Hello world", "x"), (2, "", "x"), (3, None, "x"), (4, "<|endoftext|>", "x")], D)
     got = {r.doc_id: r.tokens for r in packing.token_counts(df, "doc_id", "text", "/opt/tokenizers").collect()}
