@@ -29,7 +29,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from hashloom.functions.numbering import numbered
@@ -50,7 +50,7 @@ HOT = 200
 #: Tasks that the questions about a hot half are spread over.
 SALTS = 16
 #: At least so many batches, and at most so many rows in one.
-BATCHES, BATCH_ROWS = 5, 1 << 22
+BATCHES, BATCH_ROWS = 4, 1 << 22
 VALUE = ["kind", "value", "run_no", "w0", "w1", "w2", "w3"]
 STORED = ["kind", "print", "run_no", "w0", "w1", "w2", "w3"]
 _STORED = "kind int, print bigint, run_no bigint, w0 bigint, w1 bigint, w2 bigint, w3 bigint, bucket int"
@@ -110,7 +110,7 @@ def _second(prints: DataFrame, n: int, distance: int) -> DataFrame:
 
 
 def near(left: DataFrame, right: DataFrame, hot: DataFrame | None, n: int, distance: int, pairs: bool = False) -> DataFrame:
-    """(value) of the fingerprint rows of left that are within the distance of one of right of an earlier run; with ``pairs`` (value, other).
+    """(value), some of them repeatedly, of the fingerprint rows of left that are within the distance of one of right of an earlier run; with ``pairs`` (value, other).
 
     ``hot`` names fingerprints (kind, print) that many values of right share, as flat pictures do;
     they are joined by a second fingerprint as well, so that a bucket of unlike values isn't
@@ -130,14 +130,15 @@ def near(left: DataFrame, right: DataFrame, hot: DataFrame | None, n: int, dista
     return cold.unionByName(joined(_second(left.join(hot, key, "left_semi"), n, distance), _second(right.join(hot, key, "left_semi"), n, distance), [*key, "print2"]))
 
 
-def _hot(prints: DataFrame) -> DataFrame | None:
-    """The distinct fingerprints, None if there are none."""
-    prints = durable(prints.distinct())
-    return prints if prints.take(1) else None
+def _kept(df: DataFrame, measure: Column | None = None) -> tuple[DataFrame, int]:
+    """The durable rows, and their number (or another measure) as seen on the way, without a job of its own."""
+    seen = Observation()
+    rows = durable(df.observe(seen, F.coalesce(F.count(F.lit(1)) if measure is None else measure, F.lit(0)).cast("bigint").alias("n")))
+    return rows, seen.get["n"]
 
 
-def fallen(values: DataFrame, distance: int) -> DataFrame:
-    """(value) of a batch's distinct values that are near to an accepted one of an earlier run of the batch.
+def fallen(values: DataFrame, distance: int) -> DataFrame | None:
+    """(value) of a batch's distinct values that are near to an accepted one of an earlier run of the batch; None if there are none.
 
     Only fingerprints shared by values of different runs matter; most values have none and are
     accepted without a comparison. Where a fingerprint is hot, values that are the earliest under
@@ -149,21 +150,23 @@ def fallen(values: DataFrame, distance: int) -> DataFrame:
     n = distance + 1
     prints = fingerprints(values, n)
     buckets = prints.groupBy("kind", "print").agg(F.count(F.lit(1)).alias("n"), F.min("run_no").alias("first"), F.max("run_no").alias("last")).where("first < last")
-    open_prints = durable(prints.join(buckets.select("kind", "print", "n", "first"), ["kind", "print"]))
-    hot = _hot(open_prints.where(F.col("n") > HOT).select("kind", "print"))
-    down = None
-    if hot is not None:
+    open_prints, most = _kept(prints.join(buckets.select("kind", "print", "n", "first"), ["kind", "print"]), F.max("n"))
+    if not most:
+        return None
+    hot, down = None, None
+    if most > HOT:
+        hot = durable(open_prints.where(F.col("n") > HOT).select("kind", "print").distinct())
         leaders = durable(open_prints.groupBy("value").agg(F.min((F.col("run_no") == F.col("first")).cast("int")).alias("leads")).where("leads = 1").select("value"))
         others = open_prints.join(leaders, "value", "left_anti")
-        down = durable(near(others, open_prints.join(leaders, "value", "left_semi"), hot, n, distance).distinct())
+        down = durable(near(others, open_prints.join(leaders, "value", "left_semi"), hot, n, distance))
         open_prints = durable(others.join(down, "value", "left_anti"))
-    edges = durable(near(open_prints, open_prints, hot, n, distance, True).distinct())
-    while edges.take(1):
-        free = edges.select("other").distinct().join(edges.select(F.col("value").alias("other")), "other", "left_anti")
-        falls = durable(edges.join(free, "other", "left_semi").select("value").distinct())
+    edges, left = _kept(near(open_prints, open_prints, hot, n, distance, True))
+    while left:
+        free = edges.select("other").join(edges.select(F.col("value").alias("other")), "other", "left_anti")
+        falls = durable(edges.join(free, "other", "left_semi").select("value"))
         down = falls if down is None else down.unionByName(falls)
-        edges = durable(edges.join(falls, "value", "left_anti").join(falls.select(F.col("value").alias("other")), "other", "left_anti").select("value", "other"))
-    return values.select("value").where("false") if down is None else down
+        edges, left = _kept(edges.join(falls, "value", "left_anti").join(falls.select(F.col("value").alias("other")), "other", "left_anti").select("value", "other"))
+    return down
 
 
 def _halves(n: int) -> list[tuple[int, int]]:
@@ -332,36 +335,45 @@ class FingerprintStore:
             asked = asked.unionByName(rows.select("part", F.explode(salts).alias("salt"), start.alias("at"), F.lit(0).alias("asked"), F.lit(i).alias("layer"), "bits", *none))
         sizes = _halves(self.n)
         ordered = asked.repartition(parts, "part", "salt").sortWithinPartitions("part", "salt", "at", "asked")
-        return ordered.mapInPandas(lambda batches: _screen(batches, sizes), "kind int, print bigint, variant bigint").distinct()
+        return ordered.mapInPandas(lambda batches: _screen(batches, sizes), "kind int, print bigint, variant bigint")
 
     def lookup(self, screened: DataFrame) -> DataFrame:
         """The stored rows (STORED) of the folders that the variants fall into; no other folder is read."""
         most = max(x["bucket_bits"] for x in self.layers)
-        touched = {r[0] for r in screened.select(F.pmod(F.xxhash64("kind", "variant"), F.lit(1 << most)).cast("int").alias("b")).distinct().collect()}  # a number a folder at most
+        touched = {0}
+        if most:
+            touched = {r[0] for r in screened.select(F.pmod(F.xxhash64("kind", "variant"), F.lit(1 << most)).cast("int").alias("b")).distinct().collect()}  # a number a folder at most
         read = [self._prints(x).where(F.col("bucket").isin(sorted({t & ((1 << x["bucket_bits"]) - 1) for t in touched}))).select(*STORED) for x in self.layers]
         return reduce(DataFrame.unionByName, read)
 
-    def known(self, values: DataFrame) -> DataFrame:
-        """(value) of those near to an accepted one of an earlier run."""
-        found = durable(self.screened(values))
-        wanted = found.select("kind", F.col("variant").alias("print")).distinct()
-        held = durable(self.lookup(found).join(wanted, ["kind", "print"], "left_semi").withColumn("value", F.lit(0)))
-        hot = _hot(held.groupBy("kind", "print").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select("kind", "print"))
+    def known(self, values: DataFrame) -> DataFrame | None:
+        """(value) of those near to an accepted one of an earlier run; None if there are none."""
+        found, n = _kept(self.screened(values))
+        if not n:
+            return None
+        wanted = found.select("kind", F.col("variant").alias("print"))
+        held, n = _kept(self.lookup(found).join(wanted, ["kind", "print"], "left_semi").withColumn("value", F.lit(0)))
+        if not n:
+            return None
+        hot = None
+        if n > HOT:
+            hot, many = _kept(held.groupBy("kind", "print").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select("kind", "print"))
+            hot = hot if many else None
         looked = fingerprints(values, self.n).join(found, ["kind", "print"]).select(*VALUE, F.col("variant").alias("print"))
-        return near(looked, held, hot, self.n, self.distance).distinct()
+        return near(looked, held, hot, self.n, self.distance)
 
     def ingest(self, values: DataFrame) -> DataFrame:
-        """VALUE rows accepted of a batch of distinct values (kind, value, run_no, w0..w3); the store then holds them.
+        """VALUE rows accepted of a durable batch of distinct values (kind, value, run_no, w0..w3); the store then holds them.
 
         ``value`` is whatever tells the batch's values apart. An empty batch accepts nothing. Values
         of one run, even in different batches, aren't held against each other.
         """
         fresh = values.select(*VALUE)
-        if self.layers:
-            fresh = durable(fresh.join(self.known(values), "value", "left_anti").select(*VALUE))
-        accepted = durable(fresh.join(fallen(fresh, self.distance), "value", "left_anti").select(*VALUE))
-        count = accepted.count() * self.n
-        layers = self.layers + ([self._write(fingerprints(accepted, self.n), count)] if count else [])
+        if self.layers and (known := self.known(values)) is not None:
+            fresh = durable(fresh.join(known, "value", "left_anti").select(*VALUE))
+        down = fallen(fresh, self.distance)
+        accepted, count = _kept(fresh if down is None else fresh.join(down, "value", "left_anti").select(*VALUE))
+        layers = self.layers + ([self._write(fingerprints(accepted, self.n), count * self.n)] if count else [])
         self._commit(layers, self.batches + 1)
         self.compact()
         return accepted
@@ -414,8 +426,8 @@ def deduplicate(rows: DataFrame, store: FingerprintStore, batches: int = BATCHES
     the batches.
     """
     place = F.col("run_no") + F.pmod(F.xxhash64("kind", "w0", "w1", "w2", "w3"), F.lit(1 << 20)) / F.lit(1 << 20)
-    rows = durable(rows.withColumn("place", place))
-    batches = max(batches, -(-rows.count() // batch_rows))
+    rows, n = _kept(rows.withColumn("place", place))
+    batches = max(batches, -(-n // batch_rows))
     cuts = sorted(set(rows.approxQuantile("place", [i / batches for i in range(1, batches)], 0.2 / batches))) if batches > 1 else []
     taken = None
     for low, high in zip([None, *cuts], [*cuts, None], strict=True):
