@@ -74,8 +74,12 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five nearest hashes of every probe, as pairs."""
     rows = nearest.vector_rows(table(spark, sf_dir, "hashes"), "id", ["hashing_method_id", "nbits"], "hash")
-    near = nearest.nearest(nearest.code_rows(rows), rows, table(spark, sf_dir, "probe_hashes"), "hash_id", 5)
-    return near.select(F.least("query_id", "id").alias("hash_a"), F.greatest("query_id", "id").alias("hash_b")).distinct()
+    index = nearest.NearestIndex(spark, f"{shared_dir(spark)}/nearest-{uuid.uuid4().hex}")
+    try:
+        near = index.build(rows, 5).search(table(spark, sf_dir, "probe_hashes"), "hash_id", 5)
+        return durable(near.select(F.least("query_id", "id").alias("hash_a"), F.greatest("query_id", "id").alias("hash_b")).distinct())
+    finally:
+        index.drop()
 
 
 def p6_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
