@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hashloom.llm.words import words
-from hashloom.runtime import durable, exists, remove
+from hashloom.runtime import durable, exists, remove, spread
 
 LEAST = 12
 SHARD_WORDS = 1 << 19
@@ -218,10 +218,10 @@ class TrainingSuffixes:
         return exists(self.spark, f"{self.path}/_SUCCESS")
 
     def build(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shard_words: int = SHARD_WORDS) -> TrainingSuffixes:
-        """One pass over the corpus, no shuffle. Whole texts are read, a document is never cut; null and empty texts are in no shard."""
+        """One pass over the corpus. Whole texts are read, a document is never cut; null and empty texts are in no shard."""
         source = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).where("length(text) > 0")
         least = self.least
-        source.mapInPandas(lambda batches: _shards(batches, shard_words, least), _SHARD).write.mode("overwrite").parquet(self.path)
+        spread(source).mapInPandas(lambda batches: _shards(batches, shard_words, least), _SHARD).write.mode("overwrite").parquet(self.path)
         return self
 
     def search(self, items: DataFrame, item_id: str = "item_id", text: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:

@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from hashloom.runtime import spread
+
 CAPACITY = 2048
 #: The shortest window is the capacity halved so many times, where it can be.
 HALVINGS = 3
@@ -49,7 +51,7 @@ def token_counts(docs: DataFrame, doc_id: str, text: str, tokenizer_dir: str, vo
             yield pd.DataFrame({"doc_id": batch["doc_id"], "tokens": [len(encoding.encode_ordinary(t)) for t in batch["text"]]})
 
     source = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).where("length(text) > 0")
-    return source.mapInPandas(count, "doc_id bigint, tokens bigint")
+    return spread(source).mapInPandas(count, "doc_id bigint, tokens bigint")
 
 
 def tier_lengths(capacity: int, halvings: int = HALVINGS) -> list[int]:
