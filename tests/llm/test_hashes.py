@@ -180,36 +180,62 @@ def _exact(rows, asked, k):
     return out
 
 
-def test_nearest_recall(spark):
+def _index(spark, tmp_path, rows, **settings):
+    rows = nearest.vector_rows(spark.createDataFrame(rows, H), "id", ["hashing_method_id", "nbits"], "hash")
+    return nearest.NearestIndex(spark, str(tmp_path / uuid.uuid4().hex)).build(rows, 5, **settings)
+
+
+def test_nearest_recall(spark, tmp_path):
     rng = random.Random(9)
     rows = [_row(i, rng.randbytes(32) if i % 3 else rng.randbytes(8), i, i % 2) for i in range(3000)]
     rows += [_row(4000 + i, _flip(rows[1][1], rng.sample(range(256), i)), 1, 1) for i in range(1, 9)] + [_row(5000, None, 1), _row(5001, b"", 1), _row(5002, bytes(16), 1)]
     asked = [*range(0, 3000, 60), 1, 1, 5000, 5002, 77777, None]
-    index = nearest.vector_rows(spark.createDataFrame(rows, H), "id", ["hashing_method_id", "nbits"], "hash")
     ids = spark.createDataFrame([(a,) for a in asked], "hash_id bigint")
-    got = {tuple(r) for r in nearest.nearest(nearest.code_rows(index), index, ids, "hash_id", 5, tile=500).collect()}
     want = _exact(rows, asked, 5)
-    assert len(got & want) >= 0.98 * len(want) and len(got) == len(want)
-    assert {(q, i) for q, i, _ in got if q == 1} == {(1, 4000 + i) for i in range(1, 6)}
-    blocked = {tuple(r) for r in nearest.nearest(nearest.code_rows(index), index, ids, "hash_id", 5, block=7).collect()}
-    assert len(blocked & want) >= 0.98 * len(want)
+    for settings, search in (({}, {"tile": 500}), ({"cluster_rows": 100}, {"block": 7})):
+        index = _index(spark, tmp_path, rows, **settings)
+        got = {tuple(r) for r in index.search(ids, "hash_id", 5, **search).collect()}
+        assert len(got & want) >= 0.95 * len(want) and len(got) == len(want)
+        assert {(q, i) for q, i, _ in got if q == 1} == {(1, 4000 + i) for i in range(1, 6)}
+    assert max(len(k.centroids) for k in index.kinds().values()) > 5
+    index.drop()
+    assert not index.built()
+
+
+def test_clustered_vectors_ask_few_clusters(spark, tmp_path):
+    """Rows in 60 groups of like ones: a query finds its neighbours in a small part of the index."""
+    rng = random.Random(10)
+    centres = [rng.randbytes(32) for _ in range(60)]
+    rows = [_row(i, _flip(centres[i % 60], rng.sample(range(256), 20)), 1, 1) for i in range(4000)]
+    asked = list(range(0, 4000, 100))
+    index = _index(spark, tmp_path, rows, cluster_rows=80)
+    kind = next(iter(index.kinds().values()))
+    assert len(kind.centroids) == 50 and kind.probes <= 10
+    got = {tuple(r) for r in index.search(spark.createDataFrame([(a,) for a in asked], "hash_id bigint"), "hash_id", 5).collect()}
+    want = _exact(rows, asked, 5)
+    assert len(got) == len(want) and sum(d for *_, d in got) <= 1.02 * sum(d for *_, d in want) and len(got & want) >= 0.9 * len(want)
 
 
-def test_nearest_empty(spark):
-    index = nearest.vector_rows(spark.createDataFrame([], H), "id", ["hashing_method_id", "nbits"], "hash")
-    assert nearest.nearest(nearest.code_rows(index), index, spark.createDataFrame([(1,)], "hash_id bigint"), "hash_id", 5).count() == 0
-    one = nearest.vector_rows(spark.createDataFrame([_row(1, bytes(8), 1)], H), "id", ["hashing_method_id", "nbits"], "hash")
-    assert nearest.nearest(nearest.code_rows(one), one, spark.createDataFrame([(1,)], "hash_id bigint"), "hash_id", 5).count() == 0
+def test_nearest_empty(spark, tmp_path):
+    ids = spark.createDataFrame([(1,)], "hash_id bigint")
+    assert _index(spark, tmp_path, []).search(ids, "hash_id", 5).count() == 0
+    assert _index(spark, tmp_path, [_row(1, bytes(8), 1)]).search(ids, "hash_id", 5).count() == 0
+    assert _index(spark, tmp_path, [_row(i, bytes(8), 1) for i in range(9)]).search(ids, "hash_id", 5).count() == 5  # equal vectors
 
 
 def test_estimates_stay_within_their_bound():
     rng = np.random.default_rng(4)
     packed = rng.integers(0, 256, (4000, 32), dtype=np.uint8)
-    codes, scalars = nearest.encode(packed)
-    assert codes.shape == packed.shape and (scalars > 0.5).all() and (scalars <= 1.0001).all()
-    turned = nearest.signs(packed) @ nearest.rotation(256)
-    q = turned[0]
-    inner = (np.unpackbits(codes, axis=1).astype(np.float32) * 2 - 1) @ q / np.sqrt(256) / scalars
-    true = turned @ q
-    bound = nearest.EPSILON * np.sqrt((1 - scalars**2) / scalars**2 / 255)
+    centroids = nearest.fit(packed, 4000, 5, cluster_rows=400).centroids
+    cluster, codes, scalars, lengths = nearest.encode(packed, centroids)
+    assert codes.shape == packed.shape and (scalars > 0.5).all() and (scalars <= 1.0001).all() and len(centroids) == 10
+    turned = nearest.turned(packed)
+    rest = turned - centroids[cluster]
+    assert np.allclose(np.linalg.norm(rest, axis=1), lengths, atol=1e-4)
+    q = turned[0] - centroids[3]
+    q /= np.linalg.norm(q)
+    mine = cluster == 3
+    inner = (np.unpackbits(codes[mine], axis=1).astype(np.float32) * 2 - 1) @ q / np.sqrt(256) / scalars[mine]
+    true = rest[mine] / lengths[mine, None] @ q
+    bound = nearest.EPSILON * np.sqrt((1 - scalars[mine] ** 2) / scalars[mine] ** 2 / 255)
     assert (np.abs(inner - true) <= bound).mean() > 0.99

@@ -261,6 +261,66 @@ def test_stuffed_one_word(spark):
     assert {0, 1, 2, 3, 4} <= found and not {100, 101, 102, 103, 104} & found
 
 
+_HAM = """I replaced the bearing last winter and it still squeaks when the weather is damp, so I doubt the grease is to blame.
+Does anyone remember whether the older housing had two screws or three? Mine has three holes but only two of them are threaded.
+My neighbour swears by vinegar, but after a week of soaking the scale was exactly as hard as before and the kitchen smelled awful.
+Thanks for the drawing. I printed it at full size, held it against the plate, and the slot is a good four millimetres too low.
+We drove up on Friday, found the road closed at the bridge, and walked the last two miles with the spare wheel between us.
+The manual says to wait ten minutes. In my experience half an hour is safer, because the relay stays warm far longer than you would think.
+Gestern habe ich die Pumpe noch einmal zerlegt, und siehe da, im Einlass steckte ein kleines Blatt, das alles verstopft hatte.
+Je ne comprends pas pourquoi le moteur cale seulement le matin, alors que le soir il tourne sans le moindre bruit.
+Ayer por la noche revisamos el cable completo y no encontramos nada raro, aunque la luz sigue parpadeando cuando llueve.
+If you do decide to sell it, please let me know first; my father had the same model and I would love to restore one.
+Sorry for the late answer, I was away. The part number is on the inside of the lid, next to the faded sticker.
+It is not pretty, but it works: two hose clamps, a strip of rubber from an old tyre, and a lot of patience.""".split("\n")
+
+
+def _labelled(rng):
+    """(text, spam): posts made for this test only, no threshold was set on them."""
+    out = [("casino " * 100, True), ("скидки " * 60, True), ("best price garden hose for sale today " * 25, True), ("buy cheap pump online " * 40, True), ("buy cheap pump online " * 80, True)]
+    salad = ["discount", "watches", "replica", "outlet", "luxury", "bargain", "wholesale"]
+    out.append((" ".join(rng.choice(salad) for _ in range(80)), True))
+    for n in (40, 120, 400):
+        out.append((" ".join(rng.choice(salad + _keywords(rng, 30)) for _ in range(n)), True))
+        out.append((", ".join(f"{rng.choice(salad)} {w}" for w in _keywords(rng, n // 2)), True))
+    out += [(" ".join(f"#{w}" for w in _keywords(rng, n)), True) for n in (9, 60)]
+    out += [("\n".join(f"[url=http://s{i}.example/{i}]{w}[/url]" for i, w in enumerate(_keywords(rng, n))), True) for n in (5, 50)]
+    out += [("\n".join(f"<a href='http://t{i}.example'>{w} {rng.choice(salad)}</a>" for i, w in enumerate(_keywords(rng, 12))), True), (_HAM[0] + "\n" + " ".join(rng.choice(salad) for _ in range(120)), True)]
+    out += [(" ".join(rng.sample(["Uhren", "billig", "kaufen", "Rabatt", "Angebot", "online", "Schnellversand", "Sonderpreis"], 8)) + " " + " ".join(rng.choice(["Uhren", "billig", "kaufen", "Rabatt", "Angebot"]) for _ in range(70)), True)]
+    out += [(h, False) for h in _HAM]
+    out += [(" ".join(rng.sample(_HAM, k)), False) for k in (2, 2, 3, 3, 4, 5)]
+    out += [("[quote=eve]" + "casino " * 100 + "[/quote]\n" + rng.choice(_HAM), False), ("> " + " ".join(salad * 5) + "\n\n" + _HAM[3], False)]
+    out += [("\n".join(f"http://u{i}.example/x - {h}" for i, h in enumerate(rng.sample(_HAM, 4))), False), (_HAM[5] + "\n-- \n" + "buy cheap pump online", False)]
+    return out
+
+
+@pytest.mark.parametrize("size", ["sf0.01", "sf0.1"])
+def test_labelled_posts_beside_a_corpus(spark, size):
+    """Precision and recall of 0.9 or more on posts that weren't used for any threshold; those that were once missed are all found."""
+    folder = f"/root/testdata/{size}/documents.parquet"
+    import os
+
+    if not os.path.exists(folder):
+        pytest.skip("no test data")
+    labelled = _labelled(random.Random(11))
+    posts = spark.createDataFrame([(-1 - i, text) for i, (text, _) in enumerate(labelled)], "doc_id bigint, text string")
+    found = {-1 - r.doc_id for r in spam.stuffed_pages(spark.read.parquet(folder).select("doc_id", "text").unionByName(posts)).where("doc_id < 0").collect()}
+    wanted = {i for i, (_, is_spam) in enumerate(labelled) if is_spam}
+    assert {0, 1, 2, 3, 4, 5} <= found
+    assert len(found & wanted) >= 0.9 * len(wanted) and len(found & wanted) >= 0.9 * len(found), (sorted(wanted - found), sorted(found - wanted))
+
+
+def test_parts_of_very_long_texts():
+    """Work follows the length: many lists, logs and repetitions in one post."""
+    import time
+
+    began = time.perf_counter()
+    text = "\n\n".join(f"word{i % 977} thing{i % 31} goes with part{i % 613} " + " ".join(f"#t{k}" for k in range(7)) + " no no no no no no no no no" for i in range(6000))
+    total, many, repeated, chunks = spam.parts(text)
+    assert many > 6000 * 20 and repeated > 0 and sum(c for c, _ in chunks) + many + repeated <= 1.2 * total
+    assert time.perf_counter() - began < 20
+
+
 def test_stuffed_code(spark):
     rng = random.Random(9)
     log = "\n".join(f"{rng.randrange(10, 24)}:{rng.randrange(10, 60)} {rng.choice(['WARN', 'INFO', 'step'])} value={rng.randrange(9999)} ch{rng.randrange(9)} ok" for _ in range(40))
