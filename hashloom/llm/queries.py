@@ -135,13 +135,14 @@ def _decoded(text: str) -> str:
 
 
 def _grams(table: str, key: str) -> str:
-    """SQL of the stretches of 12 words of each text of a table."""
+    """SQL of the stretches of 12 words of each text of a table, with the place (from 0) of the first."""
     plain = f"regexp_replace(regexp_replace({_decoded('text')}, '{_TAG}', ' ', 'g'), '[\\x{{00AD}}\\x{{200B}}\\x{{200C}}\\x{{200D}}\\x{{2060}}\\x{{FEFF}}]', '', 'g')"
     words = f"SELECT {key}, regexp_extract_all(lower({plain}), '[a-z0-9]+') AS w FROM {table} WHERE text IS NOT NULL"
-    return f"SELECT DISTINCT {key}, array_to_string(w[i:i + 11], ' ') AS gram FROM (SELECT {key}, w, unnest(range(1, len(w) - 10)) AS i FROM ({words}) WHERE len(w) >= 12)"
+    return f"SELECT {key}, i - 1 AS {key}_at, array_to_string(w[i:i + 11], ' ') AS gram FROM (SELECT {key}, w, unnest(range(1, len(w) - 10)) AS i FROM ({words}) WHERE len(w) >= 12)"
 
 
-_LEAKS = f"SELECT DISTINCT doc_id, item_id FROM ({_grams('documents', 'doc_id')}) d JOIN ({_grams('eval_items', 'item_id')}) i USING (gram)"
+_SHARED = f"SELECT doc_id, item_id, doc_id_at AS d, item_id_at AS i FROM ({_grams('documents', 'doc_id')}) JOIN ({_grams('eval_items', 'item_id')}) USING (gram)"
+_LEAKS = f"SELECT DISTINCT doc_id, item_id FROM ({_SHARED})"
 
 QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p4_daily_sketches": p4_daily_sketches, "p4_daily_summaries": p4_daily_summaries, "p4_bounded": p4_bounded, "p3_found": p3_found, "p6_assignment": p6_assignment, "p7_found": p7_found, "p7_passages": p7_passages, "p7_clean": p7_clean, "p8_found": p8_found, "p8_shares": p8_shares}
 SQL = {
@@ -160,7 +161,21 @@ d AS (SELECT q.id AS q, h.id AS o, list_sum(list_transform(list_zip(q.words, h.w
  FROM q JOIN hashes h ON h.hashing_method_id = q.hashing_method_id AND h.nbits = q.nbits AND h.id <> q.id WHERE h.words IS NOT NULL),
 r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY dist, o) AS k FROM d)
 SELECT DISTINCT least(q, o) AS hash_a, greatest(q, o) AS hash_b FROM r WHERE k <= 5""",
+    "p2_found": """
+WITH RECURSIVE run_no AS (SELECT id AS run_id, row_number() OVER (ORDER BY timestamp, id) AS r FROM runs WHERE timestamp IS NOT NULL),
+first AS (SELECT image_id, min(r) AS r FROM run_images JOIN run_no USING (run_id) WHERE image_id IS NOT NULL GROUP BY image_id),
+h AS MATERIALIZED (SELECT h.id, h.hashing_method_id AS m, h.words[1] AS a, h.words[2] AS b, h.words[3] AS c, h.words[4] AS d, r
+ FROM hashes h JOIN modified_images v ON v.id = h.mod_image_id JOIN first USING (image_id) WHERE nbits = 256),
+near AS MATERIALIZED (SELECT x.id, x.r, y.id AS other FROM h x JOIN h y ON x.m = y.m AND y.r < x.r
+ WHERE bit_count(xor(x.a, y.a))::INTEGER + bit_count(xor(x.b, y.b))::INTEGER + bit_count(xor(x.c, y.c))::INTEGER + bit_count(xor(x.d, y.d))::INTEGER <= 10),
+steps AS (SELECT 0::BIGINT AS r, []::BIGINT[] AS cases UNION ALL
+ SELECT s.r + 1, list_concat(s.cases, coalesce((SELECT list(DISTINCT n.id) FROM near n WHERE n.r = s.r + 1 AND NOT list_contains(s.cases, n.other)), [])) FROM steps s WHERE s.r < (SELECT max(r) FROM run_no))
+SELECT unnest(cases) AS hash_id FROM steps WHERE r = (SELECT max(r) FROM run_no)""",
     "p7_found": _LEAKS,
+    "p7_passages": f"""
+WITH s AS ({_SHARED}), g AS (SELECT *, d - row_number() OVER (PARTITION BY doc_id, item_id, d - i ORDER BY d) AS run FROM s),
+p AS (SELECT doc_id, item_id, min(d) AS doc_word, min(i) AS item_word, count(*) + 11 AS n_words FROM g GROUP BY doc_id, item_id, d - i, run)
+SELECT doc_id, item_id, doc_word, item_word, n_words FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n_words DESC, doc_word, item_word) AS k FROM p) WHERE k = 1""",
     "p7_clean": f"SELECT doc_id FROM documents WHERE doc_id IS NULL OR doc_id NOT IN (SELECT doc_id FROM ({_LEAKS}) WHERE doc_id IS NOT NULL)",
     "p4_daily_sketches": f"""
 WITH c AS (SELECT hashing_method_id, hash_len, day, hamming_distance, count(*) AS n FROM ({_P4_ROWS}) GROUP BY ALL),
