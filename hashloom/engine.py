@@ -18,7 +18,7 @@ from hashloom.functions.paths import plain_text
 from hashloom.operators import matching, roc, upserts, views
 from hashloom.operators.variants import hash_variants
 from hashloom.runtime import durable, hadoop_path, write_bytes
-from hashloom.sources.images import decoded, require_decodable, safe_name, scan, undecodable
+from hashloom.sources.images import decoded, rejects, require_decodable, safe_name, scan, undecodable
 from hashloom.sources.warehouse import Warehouse
 
 
@@ -71,6 +71,7 @@ class Engine:
         self.selected_modifications: list[int] = []
         self.selected_methods: list[int] = []
         self.undecodable: DataFrame | None = None
+        self.rejected: DataFrame | None = None
         self._running = threading.Lock()
         self.store.create()
 
@@ -155,6 +156,7 @@ class Engine:
             raise PathNotFound("no folder is set")
         seen = scan(self.spark, self.path)
         self._record(seen)
+        self.rejected = rejects(seen)  # of a scan: names that are no file's; they are recorded and not opened
         images = durable(seen.select("path", "user").join(s.read("images").groupBy("path").agg(F.min("id").alias("image_id")), "path"))
 
         run_id = upserts.next_id(s.read("runs"))
@@ -167,7 +169,8 @@ class Engine:
             s.replace(name, durable(upserts.insert_ignore(s.read(name), rows, ["id"])))
 
         self.progress("images", run_id)
-        grids = decoded(self.spark, self.path, self._unhashed(images, mods, methods))
+        readable = images.join(self.rejected.select("path"), "path", "left_anti")
+        grids = decoded(self.spark, self.path, self._unhashed(readable, mods, methods))
         if mods and methods:
             rows = durable(hash_variants(grids, mods, methods))
             self.undecodable = undecodable(self._unhashed(images, mods, methods), rows.select("image_id").distinct())
