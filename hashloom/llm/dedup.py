@@ -346,8 +346,13 @@ class FingerprintStore:
         read = [self._prints(x).where(F.col("bucket").isin(sorted({t & ((1 << x["bucket_bits"]) - 1) for t in touched}))).select(*STORED) for x in self.layers]
         return reduce(DataFrame.unionByName, read)
 
-    def known(self, values: DataFrame) -> DataFrame | None:
-        """(value) of those near to an accepted one of an earlier run; None if there are none."""
+    def known(self, values: DataFrame) -> DataFrame:
+        """(value) of those near to an accepted one of an earlier run, each once."""
+        found = self._known(values) if self.layers else None
+        return values.select("value").where("false") if found is None else found.distinct()
+
+    def _known(self, values: DataFrame) -> DataFrame | None:
+        """known, some of them repeatedly; None if there are none."""
         found, n = _kept(self.screened(values))
         if not n:
             return None
@@ -369,7 +374,7 @@ class FingerprintStore:
         of one run, even in different batches, aren't held against each other.
         """
         fresh = values.select(*VALUE)
-        if self.layers and (known := self.known(values)) is not None:
+        if self.layers and (known := self._known(values)) is not None:
             fresh = durable(fresh.join(known, "value", "left_anti").select(*VALUE))
         down = fallen(fresh, self.distance)
         accepted, count = _kept(fresh if down is None else fresh.join(down, "value", "left_anti").select(*VALUE))
