@@ -197,7 +197,9 @@ def test_nearest_recall(spark, tmp_path):
         got = {tuple(r) for r in index.search(ids, "hash_id", 5, **search).collect()}
         assert len(got & want) >= 0.95 * len(want) and len(got) == len(want)
         assert {(q, i) for q, i, _ in got if q == 1} == {(1, 4000 + i) for i in range(1, 6)}
-    assert max(len(k.centroids) for k in index.kinds().values()) > 5
+    opened = nearest.NearestIndex(spark, index.path)  # as another session would
+    assert {tuple(r) for r in opened.search(ids, "hash_id", 5).collect()} == {tuple(r) for r in index.search(ids, "hash_id", 5).collect()}
+    assert max(len(k.centroids) for k in opened.kinds().values()) > 5
     index.drop()
     assert not index.built()
 
