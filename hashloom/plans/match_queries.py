@@ -165,9 +165,9 @@ _CELLS = ", ".join(f"coalesce(sum(n) FILTER (WHERE {rule}), 0)::BIGINT AS {name}
 _RATES = "CASE WHEN fp + tn > 0 THEN (fp::DOUBLE / (fp + tn))::FLOAT END AS fp_rate, CASE WHEN tp + fn > 0 THEN (tp::DOUBLE / (tp + fn))::FLOAT END AS tp_rate"
 
 
-def _confusion_sql(where: str) -> str:
-    counts = f"SELECT method_1 AS method, {_REL} AS entry, image_id_1 = image_id_2 AS same, count(*) AS n FROM ({_STAR}) WHERE {where} AND {_REL} IS NOT NULL AND image_id_1 = image_id_2 IS NOT NULL GROUP BY ALL"
-    return f"SELECT method, threshold_idx, threshold, {_CELLS} FROM ({counts}), ({_GRID}) GROUP BY method, threshold_idx, threshold"
+def _confusion_sql(where: str, group: str = "method_1 AS method", names: str = "method") -> str:
+    counts = f"SELECT {group}, {_REL} AS entry, image_id_1 = image_id_2 AS same, count(*) AS n FROM ({_STAR}) WHERE {where} AND {_REL} IS NOT NULL AND image_id_1 = image_id_2 IS NOT NULL GROUP BY ALL"
+    return f"SELECT {names}, threshold_idx, threshold, {_CELLS} FROM ({counts}), ({_GRID}) GROUP BY {names}, threshold_idx, threshold"
 
 
 def _merged_sql(where: str) -> str:
@@ -209,6 +209,7 @@ SELECT id, count(*) AS partners, sum(d)::BIGINT AS sum_distance, min(d) AS neare
     "classify": f"""SELECT id, CASE WHEN {_REL} IS NULL OR image_id_1 = image_id_2 IS NULL THEN NULL WHEN image_id_1 = image_id_2 THEN CASE WHEN {_REL} < 0.4::FLOAT THEN 'TP' ELSE 'FN' END
  WHEN {_REL} < 0.4::FLOAT THEN 'FP' ELSE 'TN' END AS class FROM ({_STAR}) WHERE method_1 = method_2""",
     "confusion_by_group": _confusion_sql("method_1 = method_2"),
+    "confusion_by_modification": _confusion_sql("method_1 = method_2 AND modification_1 = modification_2", "modification_1 AS modification, method_1 AS method", "modification, method"),
     "roc_merged": _merged_sql("method_1 = method_2"),
     "roc_same_modification": _merged_sql("method_1 = method_2 AND modification_1 = modification_2"),
     "roc_histogram": f"""WITH r AS ({_merged_sql("method_1 = method_2")}), a AS (SELECT 'fp_rate' AS axis, floor(fp_rate::DOUBLE * 100)::INTEGER AS bin FROM r UNION ALL SELECT 'tp_rate', floor(tp_rate::DOUBLE * 100)::INTEGER FROM r)
