@@ -276,7 +276,7 @@ It is not pretty, but it works: two hose clamps, a strip of rubber from an old t
 
 
 def _labelled(rng):
-    """(text, spam): posts made for this test only, no threshold was set on them."""
+    """(text, spam): made-up posts. The rule for stretches with little evidence was added after a run on them, so they are no independent measure."""
     out = [("casino " * 100, True), ("скидки " * 60, True), ("best price garden hose for sale today " * 25, True), ("buy cheap pump online " * 40, True), ("buy cheap pump online " * 80, True)]
     salad = ["discount", "watches", "replica", "outlet", "luxury", "bargain", "wholesale"]
     out.append((" ".join(rng.choice(salad) for _ in range(80)), True))
@@ -296,7 +296,7 @@ def _labelled(rng):
 
 @pytest.mark.parametrize("size", ["sf0.01", "sf0.1"])
 def test_labelled_posts_beside_a_corpus(spark, size):
-    """Precision and recall of 0.9 or more on posts that weren't used for any threshold; those that were once missed are all found."""
+    """Precision and recall of 0.9 or more; those that were once missed are all found."""
     folder = f"/root/testdata/{size}/documents.parquet"
     import os
 
