@@ -1,14 +1,19 @@
 """All unique pairs of the hashes of one method, by Hamming distance.
 
 One method is one key, so the pairs are cut into tiles: each hash belongs to one of B blocks of
-its method and goes to the B pairs of blocks it takes part in; a tile holds two blocks. Inside a
-tile the distances come from packed words. Most questions about the pairs (histograms, counts,
-the nearest) are answered in the tile, and the pairs themselves are never written.
+its method; a tile holds two blocks. Inside a tile the distances come from packed words. Most
+questions about the pairs (histograms, counts, the nearest) are answered in the tile, and the pairs
+themselves are never written.
+
+A histogram needs no ids, so each block is packed into one row and written once, and the tiles are
+made by reading blocks against each other: nothing is written B times. Where ids come out (tiles()),
+each hash goes to the B pairs of blocks it takes part in.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -17,12 +22,17 @@ from pyspark.sql import functions as F
 
 from hashloom.errors import HashesNotEqualLength, NotEnoughHashes
 from hashloom.functions.bits import hash_len
+from hashloom.runtime import durable
 
 #: Hashes in a block, about: a tile holds twice as many, whatever the table's size.
 BLOCK = 4096
 #: The same where the pairs themselves leave the tile: at most its square, some 25 MB.
 PAIR_BLOCK = 1024
 ROWS = 512
+#: Rows of a slice whose words are compared at once: they stay in the processor's cache.
+AT_ONCE = 64
+#: Pairs of the same truth whose distances are taken at once.
+SAME_AT_ONCE = 1 << 18
 
 
 def method_counts(hashes: DataFrame, method: str = "hashing_method_id") -> DataFrame:
@@ -84,28 +94,116 @@ def _over_tile(pdf: pd.DataFrame, each: Callable[[pd.DataFrame, pd.DataFrame, np
         each(left.iloc[part], right, d, wanted)
 
 
+def _packed(hashes: DataFrame, truth: str | None, block: int) -> DataFrame | None:
+    """A row a block: its kind, its number and the last one of its kind, and the hashes' words and truths, those with a truth first and by it. None without hashes."""
+    rows = hashes.where("words is not null").select(F.col("hashing_method_id"), F.col("nbits"), F.col("id"), F.col("words"), (F.col(truth) if truth else F.lit(None)).cast("bigint").alias("truth"))
+    sizes = rows.where("hashing_method_id is not null and nbits is not null").groupBy("hashing_method_id", "nbits").agg(F.count(F.lit(1)).alias("n")).orderBy("hashing_method_id", "nbits").collect()
+    kinds, total = [], 0
+    for kind in sizes:
+        blocks = -(-kind["n"] // block)
+        kinds.append((kind["hashing_method_id"], kind["nbits"], blocks, total, total + blocks - 1))
+        total += blocks
+    if not kinds:
+        return None
+
+    sizes = hashes.sparkSession.createDataFrame(kinds, "hashing_method_id int, nbits int, blocks int, first int, last int")
+    rows = rows.join(F.broadcast(sizes), ["hashing_method_id", "nbits"]).withColumn("block", (F.pmod(F.xxhash64("id"), F.col("blocks")) + F.col("first")).cast("int"))
+    cores = hashes.sparkSession.sparkContext.defaultParallelism
+    parts = max(math.ceil(math.sqrt(2 * cores)), math.ceil(1.5 * math.sqrt(total)))  # tiles are made in the square of these
+    known = rows.select("hashing_method_id", "nbits", "block", "last", "words", F.coalesce("truth", F.lit(0).cast("bigint")).alias("truth"), F.col("truth").isNotNull().alias("known"))
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        order = np.lexsort((pdf["truth"].to_numpy(np.int64), ~pdf["known"].to_numpy(bool)))
+        words = np.stack(pdf["words"].to_numpy()).astype("<i8")[order]
+        truths = pdf["truth"].to_numpy("<i8")[order[: int(pdf["known"].sum())]]
+        return pdf[["hashing_method_id", "nbits", "block", "last"]].head(1).assign(width=words.shape[1], words=[words.T.tobytes()], truth=[truths.tobytes()])
+
+    return durable(known.repartition(parts, "block").groupBy("block").applyInPandas(pack, "hashing_method_id int, nbits int, block int, last int, width int, words binary, truth binary"))
+
+
+def _distances_seen(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How often each distance is seen between the columns of a and those of b (words, hashes), of all bits that the words have."""
+    bits = 64 * len(a)
+    seen = np.zeros(bits + 1, np.int64)
+    small = bits <= 256  # a distance of 256 is kept as 0 then, and found by its last word
+    n, m = a.shape[1], b.shape[1]
+    x, ones, d = np.empty((AT_ONCE, m), np.uint64), np.empty((AT_ONCE, m), np.uint8), np.empty((min(n, ROWS), m), np.uint8 if small else np.int32)
+    for start in range(0, n, ROWS):
+        end = min(start + ROWS, n)
+        for first in range(start, end, AT_ONCE):
+            k = min(AT_ONCE, end - first)
+            out = d[first - start : first - start + k]
+            for w in range(len(a)):
+                np.bitwise_xor(a[w, first : first + k, None], b[w][None, :], out=x[:k])
+                if w:
+                    out += np.bitwise_count(x[:k], out=ones[:k])
+                else:
+                    out[:] = np.bitwise_count(x[:k], out=ones[:k])
+            if bits == 256 and not out.all():
+                whole = int(((out == 0) & (ones[:k] == 64)).sum())
+                seen[0] -= whole
+                seen[256] += whole
+        flat = d[: end - start].ravel()
+        if not small:
+            seen += np.bincount(flat, minlength=bits + 1)
+            continue
+        pairs = np.bincount(flat[: len(flat) // 2 * 2].view(np.uint16), minlength=1 << 16).reshape(256, 256)  # two distances are counted at a time
+        both = pairs.sum(axis=0) + pairs.sum(axis=1)
+        if len(flat) % 2:
+            both[flat[-1]] += 1
+        seen[:256] += both[: bits + 1]
+    return seen
+
+
+def _same_seen(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Like _distances_seen, of the pairs with the same truth: x and y are the truths of the first columns, in order."""
+    seen = np.zeros(64 * len(a) + 1, np.int64)
+    low = np.searchsorted(y, x)
+    upto = np.cumsum(np.searchsorted(y, x, side="right") - low)
+    total = int(upto[-1]) if len(upto) else 0
+    for start in range(0, total, SAME_AT_ONCE):
+        pair = np.arange(start, min(start + SAME_AT_ONCE, total))
+        i = np.searchsorted(upto, pair, side="right")
+        j = low[i] + pair - np.where(i > 0, upto[i - 1], 0)
+        seen += np.bincount(sum(np.bitwise_count(a[w, i] ^ b[w, j]).astype(np.int32) for w in range(len(a))), minlength=len(seen))
+    return seen
+
+
+def _count_tiles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows of two blocks of a kind to the number of their pairs by distance and truth."""
+    counts: dict[tuple[int, int], np.ndarray] = {}
+    for batch in batches:
+        for t in batch.itertuples(index=False):
+            a, b = (np.frombuffer(words, "<u8").reshape(t.width, -1) for words in (t.words, t.words2))
+            x, y = (np.frombuffer(truth, "<i8") for truth in (t.truth, t.truth2))
+            pairs, same = _distances_seen(a, b), _same_seen(a, b, x, y)
+            if t.block == t.block2:  # each pair was seen twice, and each hash with itself
+                pairs[0] -= a.shape[1]
+                same[0] -= len(x)
+                pairs, same = pairs // 2, same // 2
+            seen = counts.setdefault((t.hashing_method_id, t.nbits), np.zeros((2, len(pairs)), np.int64))
+            seen[0] += pairs - same
+            seen[1] += same
+    for (method, nbits), seen in counts.items():
+        same, distance = np.nonzero(seen)
+        yield pd.DataFrame({"hashing_method_id": method, "nbits": nbits, "hamming_distance": distance, "same": same.astype(bool), "pairs": seen[same, distance]})
+
+
 def pair_histogram(hashes: DataFrame, truth: str | None = None, block: int = BLOCK) -> DataFrame:
     """(hashing_method_id, nbits, hamming_distance, same, pairs): unique pairs of equal length, counted.
 
     ``truth`` names a bigint column; a pair is the same if both have it and it is equal. A null id
-    takes part like any other. Methods with fewer than two hashes have no row.
+    takes part like any other. Methods with fewer than two hashes have no row. The blocks are written
+    once; a task holds some of them against some others, so disk follows the hashes, not their pairs.
     """
-
-    def count(pdf: pd.DataFrame) -> pd.DataFrame:
-        nbits = int(pdf["nbits"].iloc[0])
-        seen = np.zeros((2, nbits + 1), np.int64)
-
-        def each(left: pd.DataFrame, right: pd.DataFrame, d: np.ndarray, wanted: np.ndarray) -> None:
-            x, y = (p["truth"].astype("Int64") for p in (left, right))
-            same = (x.fillna(-1).to_numpy(np.int64)[:, None] == y.fillna(-2).to_numpy(np.int64)[None, :]) & x.notna().to_numpy()[:, None]
-            seen[1] += np.bincount(d[wanted & same], minlength=nbits + 1)
-            seen[0] += np.bincount(d[wanted & ~same], minlength=nbits + 1)
-
-        _over_tile(pdf, each)
-        same, distance = np.nonzero(seen)
-        return pd.DataFrame({"hashing_method_id": pdf["hashing_method_id"].iloc[0], "nbits": nbits, "hamming_distance": distance, "same": same.astype(bool), "pairs": seen[same, distance]})
-
-    parts = tiles(hashes, truth, block).groupBy("hashing_method_id", "nbits", "t1", "t2").applyInPandas(count, "hashing_method_id int, nbits int, hamming_distance int, same boolean, pairs bigint")
+    schema = "hashing_method_id int, nbits int, hamming_distance int, same boolean, pairs bigint"
+    blocks = _packed(hashes, truth, block)
+    if blocks is None:
+        return hashes.sparkSession.createDataFrame([], schema)
+    others = blocks.select(F.col("block").alias("block2"), F.col("words").alias("words2"), F.col("truth").alias("truth2"))
+    # Not by an equal key, which would bring a method to one task and its blocks to disk for every tile.
+    tile = blocks.hint("shuffle_replicate_nl").join(others, (F.col("block2") >= F.col("block")) & (F.col("block2") <= F.col("last")))
+    parts = tile.mapInPandas(_count_tiles, schema)
     return parts.groupBy("hashing_method_id", "nbits", "hamming_distance", "same").agg(F.sum("pairs").alias("pairs"))
 
 

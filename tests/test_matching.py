@@ -107,3 +107,29 @@ def test_same_modification_has_matrices_by_modification(spark, monkeypatch):
     assert got == {("a", "h"): (1, 0, 1, 0), ("b", "h"): (0, 1, 0, 0)}
     whole = match_queries.roc_same_modification(spark, "").where("threshold_idx = 50").first()
     assert (whole.tp, whole.fn, whole.fp, whole.tn) == (1, 1, 1, 0)
+
+
+def test_histogram_writes_no_hash_once_a_tile(spark):
+    """On a gigabyte every hash was shuffled once for each of some hundred tiles; equal and opposite hashes, hot truths."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(330):
+        words = [int(w) for w in rng.integers(-(2**63), 2**63, (1, 4, 5)[i % 3])]
+        if i % 10 == 0 and i:
+            words = [~w for w in rows[i - 9][3]] if i % 20 else rows[i - 9][3]
+        rows.append((i if i % 11 else None, i % 3, 64 * len(words), words, (None, 1, 1, 1, i)[i % 5], "x"))
+    want = {}
+    for _, _, d, method, same in _brute(rows):
+        want[method, d, same] = want.get((method, d, same), 0) + 1
+    assert {(1, 256), (1, 0)} <= {k[:2] for k in want}
+    found = matching.pair_histogram(spark.createDataFrame(rows, SCHEMA), "truth", 7)
+    assert {(r.hashing_method_id, r.hamming_distance, r.same): r.pairs for r in found.collect()} == want
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Generate" not in plan and "SortMergeJoin" not in plan
+
+
+def test_packed_blocks_hold_each_hash_once(spark):
+    rows = [r for r in _hashes(200) if r[3]]
+    blocks = matching._packed(spark.createDataFrame(rows, SCHEMA), "truth", 10).collect()
+    assert sum(len(b.words) for b in blocks) == 8 * sum(len(r[3]) for r in rows) and len(blocks) > 15
+    assert all(b.block <= b["last"] for b in blocks)
