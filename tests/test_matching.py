@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from hashloom.errors import NotEnoughHashes
 from hashloom.operators import matching, roc
+from hashloom.plans import match_queries
 
 SCHEMA = "id bigint, hashing_method_id int, nbits int, words array<bigint>, truth bigint, extra string"
 
@@ -133,3 +134,16 @@ def test_packed_blocks_hold_each_hash_once(spark):
     blocks = matching._packed(spark.createDataFrame(rows, SCHEMA), "truth", 10).collect()
     assert sum(len(b.words) for b in blocks) == 8 * sum(len(r[3]) for r in rows) and len(blocks) > 15
     assert all(b.block <= b["last"] for b in blocks)
+
+
+def test_roc_of_hashes_writes_no_hash_once_a_tile(spark, tmp_path):
+    """The query as it is: at 1 GB the tiles of its histogram filled the disk; a hash without an image has a truth of its own."""
+    rows = [r for r in _hashes(120) if r[3]]
+    spark.createDataFrame(rows, SCHEMA).withColumn("mod_image_id", F.col("id")).drop("truth").write.parquet(str(tmp_path / "hashes.parquet"))
+    spark.createDataFrame([(r[0], r[4]) for r in rows], "id bigint, image_id bigint").where("id % 4 <> 0").write.parquet(str(tmp_path / "modified_images.parquet"))
+    found = match_queries.roc_hashes(spark, str(tmp_path))
+    assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()
+    pairs = _brute([r if r[0] % 4 else (*r[:4], None, "x") for r in rows])
+    for r in found.where("threshold_idx in (20, 50)").collect():
+        mine = [(np.float32(d / (64 + 192 * m)) < np.float32(r.threshold_idx / 100), same) for *_, d, m, same in pairs if m == r.hashing_method_id]
+        assert (r.tp, r.fn, r.fp, r.tn) == tuple(mine.count(x) for x in ((True, True), (False, True), (True, False), (False, False)))
