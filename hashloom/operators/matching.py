@@ -6,8 +6,9 @@ questions about the pairs (histograms, counts, the nearest) are answered in the
 themselves are never written.
 
 A histogram needs no ids, so each block is packed into one row and written once, and the tiles are
-made by reading blocks against each other: nothing is written B times. Where ids come out (tiles()),
-each hash goes to the B pairs of blocks it takes part in.
+made by reading blocks against each other: nothing is written B times. Equal hashes are in one block,
+where each different one is compared once and counted as often as it is there. Where ids come out
+(tiles()), each hash goes to the B pairs of blocks it takes part in.
 """
 
 from __future__ import annotations
@@ -31,6 +32,10 @@ PAIR_BLOCK = 1024
 ROWS = 512
 #: Rows of a slice whose words are compared at once: they stay in the processor's cache.
 AT_ONCE = 64
+#: Rows of a block, about, as a multiple of its different hashes; a hash that alone has more is spread by id.
+REPEATS = 8
+#: Different numbers of repeats in a block; where there are more, powers of two stand for them.
+TIMES = 12
 #: Pairs of the same truth whose distances are taken at once.
 SAME_AT_ONCE = 1 << 18
 
@@ -97,17 +102,21 @@ def _over_tile(pdf: pd.DataFrame, each: Callable[[pd.DataFrame, pd.DataFrame, np
 def _packed(hashes: DataFrame, truth: str | None, block: int) -> DataFrame | None:
     """A row a block: its kind, its number and the last one of its kind, and the hashes' words and truths, those with a truth first and by it. None without hashes."""
     rows = hashes.where("words is not null").select(F.col("hashing_method_id"), F.col("nbits"), F.col("id"), F.col("words"), (F.col(truth) if truth else F.lit(None)).cast("bigint").alias("truth"))
-    sizes = rows.where("hashing_method_id is not null and nbits is not null").groupBy("hashing_method_id", "nbits").agg(F.count(F.lit(1)).alias("n")).orderBy("hashing_method_id", "nbits").collect()
+    rows = rows.withColumn("value", F.xxhash64("words"))
+    each = rows.where("hashing_method_id is not null and nbits is not null").groupBy("hashing_method_id", "nbits", "value").agg(F.count(F.lit(1)).alias("n"))
+    hot = F.collect_list(F.when(F.col("n") > REPEATS * block, F.col("value")))
+    sizes = each.groupBy("hashing_method_id", "nbits").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("values"), hot.alias("hot")).orderBy("hashing_method_id", "nbits").collect()
     kinds, total = [], 0
     for kind in sizes:
-        blocks = -(-kind["n"] // block)
-        kinds.append((kind["hashing_method_id"], kind["nbits"], blocks, total, total + blocks - 1))
+        blocks = max(-(-kind["values"] // block), -(-kind["n"] // (REPEATS * block)))
+        kinds.append((kind["hashing_method_id"], kind["nbits"], blocks, total, total + blocks - 1, kind["hot"]))
         total += blocks
     if not kinds:
         return None
 
-    sizes = hashes.sparkSession.createDataFrame(kinds, "hashing_method_id int, nbits int, blocks int, first int, last int")
-    rows = rows.join(F.broadcast(sizes), ["hashing_method_id", "nbits"]).withColumn("block", (F.pmod(F.xxhash64("id"), F.col("blocks")) + F.col("first")).cast("int"))
+    sizes = hashes.sparkSession.createDataFrame(kinds, "hashing_method_id int, nbits int, blocks int, first int, last int, hot array<bigint>")
+    key = F.when(F.array_contains("hot", F.col("value")), F.xxhash64("id", "truth")).otherwise(F.col("value"))
+    rows = rows.join(F.broadcast(sizes), ["hashing_method_id", "nbits"]).withColumn("block", (F.pmod(key, F.col("blocks")) + F.col("first")).cast("int"))
     cores = hashes.sparkSession.sparkContext.defaultParallelism
     parts = max(math.ceil(math.sqrt(2 * cores)), math.ceil(1.5 * math.sqrt(total)))  # tiles are made in the square of these
     known = rows.select("hashing_method_id", "nbits", "block", "last", "words", F.coalesce("truth", F.lit(0).cast("bigint")).alias("truth"), F.col("truth").isNotNull().alias("known"))
@@ -121,6 +130,19 @@ def _packed(hashes: DataFrame, truth: str | None, block: int) -> DataFrame | Non
     return durable(known.repartition(parts, "block").groupBy("block").applyInPandas(pack, "hashing_method_id int, nbits int, block int, last int, width int, words binary, truth binary"))
 
 
+def _by_repeats(words: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """(times, words): the different columns of words, by how often each is there; a number of times may be put together from powers of two."""
+    words = words[:, np.lexsort(words)]
+    first = np.flatnonzero(np.r_[True, (words[:, 1:] != words[:, :-1]).any(axis=0)])
+    times, words = np.diff(np.r_[first, words.shape[1]]), words[:, first]
+    counts = np.unique(times)
+    if len(counts) > TIMES:
+        groups = ((1 << k, times >> k & 1 == 1) for k in range(int(counts[-1]).bit_length()))
+    else:
+        groups = ((int(n), times == n) for n in counts)
+    return [(n, np.ascontiguousarray(words[:, those])) for n, those in groups if those.any()]
+
+
 def _distances_seen(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """How often each distance is seen between the columns of a and those of b (words, hashes), of all bits that the words have."""
     bits = 64 * len(a)
@@ -144,7 +166,7 @@ def _distances_seen(a: np.ndarray, b: np.ndarray) -> np.ndarray:
                 seen[0] -= whole
                 seen[256] += whole
         flat = d[: end - start].ravel()
-        if not small:
+        if not small or len(flat) < 1 << 17:
             seen += np.bincount(flat, minlength=bits + 1)
             continue
         pairs = np.bincount(flat[: len(flat) // 2 * 2].view(np.uint16), minlength=1 << 16).reshape(256, 256)  # two distances are counted at a time
@@ -172,11 +194,16 @@ def _same_seen(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray) -> np
 def _count_tiles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows of two blocks of a kind to the number of their pairs by distance and truth."""
     counts: dict[tuple[int, int], np.ndarray] = {}
+    held: dict[int, list[tuple[int, np.ndarray]]] = {}  # of the blocks that this task holds against each other
     for batch in batches:
         for t in batch.itertuples(index=False):
             a, b = (np.frombuffer(words, "<u8").reshape(t.width, -1) for words in (t.words, t.words2))
             x, y = (np.frombuffer(truth, "<i8") for truth in (t.truth, t.truth2))
-            pairs, same = _distances_seen(a, b), _same_seen(a, b, x, y)
+            for block, words in ((t.block, a), (t.block2, b)):
+                if block not in held:
+                    held[block] = _by_repeats(words)
+            pairs = sum(n * m * _distances_seen(p, q) for n, p in held[t.block] for m, q in held[t.block2])
+            same = _same_seen(a, b, x, y)
             if t.block == t.block2:  # each pair was seen twice, and each hash with itself
                 pairs[0] -= a.shape[1]
                 same[0] -= len(x)
@@ -194,7 +221,8 @@ def pair_histogram(hashes: DataFrame, truth: str | None = None, block: int = BLO
 
     ``truth`` names a bigint column; a pair is the same if both have it and it is equal. A null id
     takes part like any other. Methods with fewer than two hashes have no row. The blocks are written
-    once; a task holds some of them against some others, so disk follows the hashes, not their pairs.
+    once; a task holds some of them against some others, so disk follows the hashes, not their pairs,
+    and time follows the pairs of different hashes.
     """
     schema = "hashing_method_id int, nbits int, hamming_distance int, same boolean, pairs bigint"
     blocks = _packed(hashes, truth, block)

@@ -147,3 +147,38 @@ def test_roc_of_hashes_writes_no_hash_once_a_tile(spark, tmp_path):
     for r in found.where("threshold_idx in (20, 50)").collect():
         mine = [(np.float32(d / (64 + 192 * m)) < np.float32(r.threshold_idx / 100), same) for *_, d, m, same in pairs if m == r.hashing_method_id]
         assert (r.tp, r.fn, r.fp, r.tn) == tuple(mine.count(x) for x in ((True, True), (False, True), (True, False), (False, False)))
+
+
+def test_equal_hashes_are_compared_once(spark, monkeypatch):
+    """Repeats were compared one by one; hot ones, more numbers of repeats than are kept apart, and truths that repeat as well."""
+    rng = np.random.default_rng(12)
+    rows = []
+    for value in range(90):
+        method = value % 2
+        words = [int(w) for w in rng.integers(-(2**63), 2**63, 1 + 3 * method)]
+        rows += [(len(rows) + i, method, 64 * len(words), words, (None, 1, value, i)[i % 4], "x") for i in range((1, 2, 3, 6, value // 3 + 1)[value % 5])]
+    rows += [(len(rows) + i, 0, 64, [5], i % 40, "x") for i in range(150)]
+    want = {}
+    for _, _, d, method, same in _brute(rows):
+        want[method, d, same] = want.get((method, d, same), 0) + 1
+    df = spark.createDataFrame(rows, SCHEMA)
+    for block in (6, 50, 1000):
+        assert {(r.hashing_method_id, r.hamming_distance, r.same): r.pairs for r in matching.pair_histogram(df, "truth", block).collect()} == want
+    seen, compared = matching._distances_seen, []
+    monkeypatch.setattr(matching, "_distances_seen", lambda a, b: compared.append(a.shape[1] * b.shape[1]) or seen(a, b))
+    words = np.repeat(rng.integers(0, 2**63, (4, 50)), 6, axis=1).astype("<u8")
+    tile = {"hashing_method_id": 1, "nbits": 256, "block": 0, "block2": 0, "width": 4, "words": [words.tobytes()], "truth": [b""], "words2": [words.tobytes()], "truth2": [b""]}
+    import pandas as pd
+
+    counted = pd.concat(matching._count_tiles(iter([pd.DataFrame(tile)])))
+    assert sum(compared) == 50 * 50 and counted["pairs"].sum() == 300 * 299 // 2
+
+
+def test_many_numbers_of_repeats_are_put_together_from_powers_of_two():
+    words = np.repeat(np.arange(40, dtype="<u8")[None, :], np.arange(1, 41), axis=1)
+    groups = matching._by_repeats(words)
+    assert len(groups) <= 6
+    times = np.zeros(40, int)
+    for n, found in groups:
+        times[found[0].astype(int)] += n
+    assert times.tolist() == list(range(1, 41))
